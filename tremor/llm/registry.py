@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremor.llm import packing, quality
+from tremor.llm import langid, mixing, packing, quality, secretscan
 from tremor.llm.common import documents
 
 
@@ -22,5 +22,17 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_pack": op2_pack}
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secrets(documents(spark, sf_dir)).drop("span_list")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_pack": op2_pack, "op6_mix": op6_mix, "op8_secrets": op8_secrets, "op9_language": op9_language}
 ORACLE_SQL: dict[str, str] = {}
