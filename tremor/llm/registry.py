@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremor.llm import langid, mixing, packing, quality, secretscan
+from tremor.llm import langid, mixing, mtree, packing, quality, secretscan, warc
 from tremor.llm.common import documents
 
 
@@ -22,6 +22,14 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -34,5 +42,20 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_pack": op2_pack, "op6_mix": op6_mix, "op8_secrets": op8_secrets, "op9_language": op9_language}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_warc": op3_warc, "op5_topk": op5_topk, "op6_mix": op6_mix, "op8_secrets": op8_secrets, "op9_language": op9_language}
+OP5_SQL = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 100 = 0
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL}
