@@ -42,7 +42,7 @@ def test_top_k_is_exact(spark):
 
 
 def test_few_and_none(spark):
-    df = spark.createDataFrame(make(3, 2)[:3], "vec_id long, embedding array<float>, score int")
+    df = spark.createDataFrame(make(40, 2)[:3], "vec_id long, embedding array<float>, score int")
     assert len(mtree.top_k(df, k=10, every=1).collect()) == 6
     assert mtree.top_k(df.limit(0)).collect() == []
 
