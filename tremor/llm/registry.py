@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremor.llm import jaccard, langid, mixing, mtree, packing, quality, secretscan, suffix, warc
+from tremor.llm import jaccard, langid, mixing, mtree, packing, quality, secretscan, suffix, warc, webp
 from tremor.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.text_media(documents(spark, sf_dir))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.secrets(documents(spark, sf_dir)).drop("span_list")
 
@@ -50,7 +54,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_warc": op3_warc, "op4_jaccard": op4_jaccard, "op5_topk": op5_topk, "op6_mix": op6_mix, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_repeats": op10_repeats}
+QUERIES = {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_warc": op3_warc, "op4_jaccard": op4_jaccard, "op5_topk": op5_topk, "op6_mix": op6_mix, "op7_media": op7_media, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_repeats": op10_repeats}
 OP5_SQL = """
 WITH usable AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
