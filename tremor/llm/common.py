@@ -56,7 +56,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch(spark)}/tremor-{uuid.uuid4().hex}/{label}"
 
 
-def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     Cuts lineage, and unlike an executor's cache it survives the loss of executors.

@@ -33,7 +33,7 @@ VERIFY_COST = 4.0
 # ---------------------------------------------------------------- sets
 
 _words: dict[bytes, bytes] = {}
-_MOST_WORDS = 600_000
+_MOST_WORDS = 250_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 

@@ -172,7 +172,7 @@ class WordIds:
     plain letters and then plain signs splits there too, after lower-casing; any other word goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, words: int = 400_000, cores: int = 1_000_000):
+    def __init__(self, path: str, words: int = 200_000, cores: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one worker a core
         from tokenizers import Tokenizer
 
