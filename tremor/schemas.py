@@ -1,0 +1,12 @@
+"""Fixed schemas, as DDL. Null means unmeasured; never NaN."""
+
+EVENTS = "event_id string, source string, magnitude double, magnitude_type string, place string, time_utc timestamp, updated_utc timestamp, longitude double, latitude double, depth_km double, status string, tsunami boolean, alert_level string, significance int, url string"
+SPACE_WEATHER = "time_utc timestamp, kp double, dst int, wind_speed double, density double, bz_gsm double, xray_flux double"
+FLARES = "id string, source string, class_type string, flare_class string, magnitude double, peak_time_utc timestamp, begin_time_utc timestamp, end_time_utc timestamp, source_location string, active_region_number int, link string"
+CMES = "simulation_id string, arrival_time_utc timestamp, predicted_kp double, glancing_blow boolean, minor_impact boolean, link string"
+PLANE = "struct<strike:double,dip:double,rake:double>"
+MECHANISMS = f"id string, time_utc timestamp, latitude double, longitude double, depth_km double, magnitude double, scalar_moment_dyne_cm double, nodal_plane_1 {PLANE}, nodal_plane_2 {PLANE}, centroid_latitude double, centroid_longitude double, centroid_depth_km double, reference_catalog string"
+ARCHIVE_CHUNKS = "year int, start_utc timestamp, end_utc timestamp, min_magnitude double, event_count int, completed_at timestamp"
+YEAR_CHUNKS = "year int, source string, event_count int, completed_at timestamp"
+APP_STATE = "key string, value string, updated_at timestamp"
+POLYLINES = "line int, attrs map<string,string>, p array<double>"
