@@ -1,8 +1,8 @@
 """Operator 4, n-gram Jaccard join: adaptive multi-match prefixes over shingle sets, and the components of its links.
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one node from here on.
-2. A node can only be linked if few of its shingles are its own. A quarter of the hash space is enough to rule out most
-   nodes: own shingles there already exceed what a link allows.
+2. A node can only be linked if few of its shingles are its own. A part of the hash space (a quarter at 85 percent, a third
+   at 80) is enough to rule out most nodes: own shingles there already exceed what a link allows.
 3. The rest count how many of them hold each shingle. That count orders shingles, rarest first. A prefix that leaves
    room for l shared shingles must share l with any linked node's. Each node takes the l whose prefix costs least: shingles
    to look through, and candidates expected to reach l.
@@ -26,7 +26,6 @@ from pyspark.sql.types import ArrayType
 from tremor.llm.common import BINARY, LONG, broadcast_if_small, extended, map_arrow, stage
 from tremor.llm.components import components
 
-SAMPLE = 4
 MOST_MATCHES = 8
 VERIFY_COST = 4.0
 
@@ -80,15 +79,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, g, sample): the set's size, its 128-bit and 64-bit digests and its shingles of one quarter of the hash space."""
+def sample_of(percent: int) -> int:
+    """One in how many hashes is looked at first: a part some 1.6 times what a link allows to differ."""
+    return max(1, int(100 / (1.6 * max(1, 100 - percent))))
+
+
+def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, part: int) -> DataFrame:
+    """(doc_id, n_shingles, sig, g, sample): the set's size, its 128-bit and 64-bit digests and its shingles of one part of the hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sig, g, samples = [], [], [], []
             for s in shingle_sets(b[text_col].to_pylist(), words):
                 d = hashlib.md5(s.tobytes()).digest()
-                n.append(len(s)), sig.append(d), g.append(int.from_bytes(d[:8], "little", signed=True)), samples.append(s[s % np.uint64(SAMPLE) == 0])
+                n.append(len(s)), sig.append(d), g.append(int.from_bytes(d[:8], "little", signed=True)), samples.append(s[s % np.uint64(part) == 0])
             yield pa.RecordBatch.from_arrays([b[id_col], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(g, pa.int64()), _lists(samples)], names=["_id", "n", "sig", "g", "sample"])
 
     picked = docs.select(F.col(id_col), F.col(text_col))
@@ -178,7 +182,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hashes: a chance of about 1e-13 a pair of documents that one is mistaken. An empty table gives an empty result.
     """
     names = {"id_col": id_col, "text_col": text_col, "words": words}
-    sigs = stage(signatures(docs, **names), "signatures")
+    sigs = stage(signatures(docs, **names, part=sample_of(percent)), "signatures")
     nodes = stage(sigs.where("n > 0").groupBy("sig").agg(F.min("_id").alias("rep"), F.min("n").alias("n"), F.min("g").alias("g")), "nodes")
     own = sigs.select("g", F.explode("sample").alias("t")).groupBy("t").agg(F.min("g").alias("g"), F.max("g").alias("other")).where("g = other").groupBy("g").agg(F.count("*").alias("own"))
     wanted = nodes.where("rep is not null").join(own, "g", "left").where(F.coalesce("own", F.lit(0)) <= _spare(F.col("n"), percent)).select("rep", "g")
