@@ -43,6 +43,24 @@ def test_wind_xray_and_flares(spark):
     assert [(q.id, q.flare_class, q.magnitude) for q in r] == [("1", "M", 5.2)]
 
 
+def report_line(date, start, end, peak, position, letter, tenths, region):
+    line = [" "] * 90
+    for at, text in ((5, date), (13, start), (18, end), (23, peak), (28, position), (59, letter), (60, tenths), (80, region)):
+        line[at : at + len(text)] = text
+    return "".join(line)
+
+
+def test_goes_report(spark):
+    lines = [
+        report_line("150101", "0457", "0517", "0507", "S07E50", "C", " 21", ""), report_line("150101", "0457", "0517", "0507", "S07E50", "C", " 21", "12345"), report_line("151231", "2350", "0010", "0001", "", "X", "280", ""),
+        report_line("150102", "0500", "0510", "0459", "", "M", " 10", ""), report_line("150102", "0500", "    ", "0505", "", "M", "    ", ""), report_line("960102", "0500", "2400", "0505", "", "B", "  5", ""), "short",
+    ]
+    got = feeds.goes_flares(frame(spark, *lines)).collect()
+    assert [(r.id, r.active_region_number) for r in got] == [("goes:1996-01-02T05:05:00.000Z-B0.5", None), ("goes:2015-01-01T05:07:00.000Z-C2.1", 12345), ("goes:2016-01-01T00:01:00.000Z-X28", None)]
+    assert got[0].end_time_utc.isoformat() == "1996-01-03T00:00:00" and got[2].end_time_utc.isoformat() == "2016-01-01T00:10:00"
+    assert feeds.goes_flares(frame(spark, *lines), expected_year=2015).count() == 2
+
+
 def test_stream_upsert_reruns_and_late_rows(spark, tmp_path):
     schema = "event_id long, time_utc timestamp, magnitude double"
     src = tmp_path / "in"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor import constants as K
-from tremor.functions import geo
+from tremor.functions import geo, space
 from tremor.operators import decluster as D
 from tremor.operators import match as M
 from tremor.operators import scan, series as S, stats
@@ -639,3 +639,12 @@ def depth_class_hist(spark, d):
     for k, low in enumerate(K.DEPTH_BINS_KM):
         bins = F.when(F.col("depth_km") >= low, F.lit(k)).otherwise(bins)
     return X.quakes(spark, d).groupBy(F.when(F.col("depth_km").isNull(), F.lit(-1)).otherwise(bins).alias("depth_bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SERIES_SQL}, x AS (SELECT time_ms, dst / 20 AS bz, greatest(1.6726e-6 * kp * wind_speed * wind_speed, 0.01) AS p FROM series WHERE kp IS NOT NULL AND dst IS NOT NULL AND wind_speed IS NOT NULL),
+y AS (SELECT *, (10.22 + 1.29 * tanh(0.184 * (bz + 8.14))) * pow(p, -1 / 6.6) AS r FROM x)
+SELECT time_ms, round(r, 6) AS standoff_re, round((0.58 - 0.007 * bz) * (1 + 0.024 * ln(p)), 6) AS flaring, r < 6.6 AS inside_geosynchronous FROM y""")
+def magnetopause(spark, d):
+    x = X.series(spark, d).where("kp is not null and dst is not null and wind_speed is not null")
+    m = x.select("time_ms", space.magnetopause(F.col("dst") / 20, space.dynamic_pressure(F.col("kp"), F.col("wind_speed"))).alias("m"))
+    return rounded(m.select("time_ms", "m.standoff_re", "m.flaring", "m.inside_geosynchronous"), "standoff_re", "flaring")

@@ -133,3 +133,40 @@ def keep_richest(flares: DataFrame, order: str) -> DataFrame:
 
 def moment_magnitude(moment_dyne_cm: Column) -> Column:
     return 2 / 3 * (F.log10(moment_dyne_cm) - 16.1)
+
+
+# First character and length of each field of a flare report's line.
+REPORT = {"date": (6, 6), "start": (14, 4), "end": (19, 4), "peak": (24, 4), "position": (29, 16), "letter": (60, 1), "tenths": (61, 4), "region": (81, 6)}
+
+
+def goes_flares(lines: DataFrame, body: str = "value", expected_year: int | None = None) -> DataFrame:
+    """A yearly report of fixed columns to flares; of lines that name one flare the richer stays.
+
+    lines may have `line_no`, the order that breaks ties. Times of day run to 24:00; a flare that ends before it starts crosses
+    midnight, and only such a one may peak before it starts. Lines that break a rule are left out.
+    """
+    cut = {k: F.substring(body, a, n) for k, (a, n) in REPORT.items()}
+    if "line_no" not in lines.columns:
+        lines = lines.withColumn("line_no", F.monotonically_increasing_id())
+    rows = lines.select("line_no", *(F.trim(c).alias(k) if k in ("position", "tenths", "region") else c.alias(k) for k, c in cut.items()))
+    rows = rows.where(F.col("tenths").rlike(r"^\d{1,3}$") & F.col("letter").rlike("^[ABCMXabcmx]$") & F.col("date").rlike(r"^\d{6}$"))
+    short = F.substring("date", 1, 2).cast("int")
+    rows = rows.withColumn("year", F.when(short >= 75, 1900 + short).otherwise(2000 + short))
+    month, day = F.substring("date", 3, 2).cast("int"), F.substring("date", 5, 2).cast("int")
+    rows = rows.where(month.between(1, 12) & day.between(1, 31))
+    if expected_year is not None:
+        rows = rows.where(F.col("year") == expected_year)
+    midnight = F.timestamp_add("DAY", day - 1, F.make_timestamp(F.col("year"), month, *[F.lit(x) for x in (1, 0, 0, 0)]))
+    hours, minutes = (lambda c: F.substring(c, 1, 2).try_cast("int")), (lambda c: F.substring(c, 3, 2).try_cast("int"))
+    of_day = lambda c: F.when(F.col(c).rlike(r"^\d{4}$") & (hours(c) <= 24) & (minutes(c) <= 59), hours(c) * 60 + minutes(c))
+    rows = rows.withColumns({"day": midnight, **{f"{k}_m": of_day(k) for k in ("start", "end", "peak")}})
+    crosses = F.coalesce(F.col("end_m") < F.col("start_m"), F.lit(False))
+    rows = rows.where(F.col("start_m").isNotNull() & F.col("peak_m").isNotNull() & (crosses | (F.col("peak_m") >= F.col("start_m"))))
+    at = lambda k: F.timestamp_add("MINUTE", F.col(f"{k}_m") + F.when(F.col(f"{k}_m") < F.col("start_m"), 1440).otherwise(0), F.col("day"))
+    n = F.col("tenths").cast("int")
+    cls = F.concat(F.upper("letter"), F.expr("cast(tenths as int) div 10").cast("string"), F.when(n % 10 == 0, "").otherwise(F.concat(F.lit("."), (n % 10).cast("string"))))
+    out = rows.select(
+        F.concat(F.lit("goes:"), F.date_format(at("peak"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("-"), cls).alias("id"), F.lit("goes").alias("source"), cls.alias("class_type"), F.upper("letter").alias("flare_class"), (n / 10).alias("magnitude"),
+        at("peak").alias("peak_time_utc"), at("start").alias("begin_time_utc"), at("end").alias("end_time_utc"), F.nullif("position", F.lit("")).alias("source_location"), F.when(F.col("region").rlike(r"^\d+$"), F.col("region").try_cast("int")).alias("active_region_number"), F.lit(None).cast("string").alias("link"), "line_no",
+    )
+    return keep_richest(out, "line_no").drop("line_no").orderBy("peak_time_utc")
