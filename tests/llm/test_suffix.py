@@ -46,9 +46,10 @@ def corpus(seed, n=120, scale=1):
     return list(zip(rng.sample(range(5 * n), n), texts)) + [(-5, None), (-6, "")]
 
 
-@pytest.mark.parametrize("length,cover,chunk", [(100, 32, 1 << 18), (20, 8, 64), (7, 3, 50)])
-def test_against_brute_force(spark, monkeypatch, length, cover, chunk):
+@pytest.mark.parametrize("length,cover,chunk,hot", [(100, 32, 1 << 18, 500), (20, 8, 64, 3), (7, 3, 50, 20)])
+def test_against_brute_force(spark, monkeypatch, length, cover, chunk, hot):
     monkeypatch.setattr(suffix, "CHUNK", chunk)
+    monkeypatch.setattr(suffix, "HOT", hot)
     rows = corpus(length)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h int").repartition(5)
     got = sorted(tuple(r) for r in suffix.remove_repeats(df, length=length, cover=cover).collect())

@@ -5,10 +5,11 @@ of the 69 32-byte strings in a window of 100 bytes, the one with the least hash.
 them, so only windows at equal cover strings can be equal, and consecutive windows that share a choice form one run.
 
 1. Count cover strings. One that occurs once rules out all its windows.
-2. Of the others, hash the text of each run. Of runs alike, all but the earliest are repeats throughout.
-3. Where a cover string has runs that differ, compare the windows of the earliest of each kind one by one.
+2. Of the others, runs with their text meet by cover string. Of runs alike, all but the earliest are repeats throughout;
+   of runs that differ, the windows of the earliest of each kind are compared one by one. A cover string with few runs is
+   settled in one task; one with many by grouping and joining, so that no task gathers it.
 
-The counting pass and the later passes each read the texts again, which costs less than keeping what they compute.
+The texts are read once to count and once more to cut the runs out, which costs less than keeping all positions.
 """
 
 from __future__ import annotations
@@ -189,10 +190,57 @@ def bitmap(numbers: DataFrame, column: str, rows: int, most_log2: int = 29) -> S
     return Seen(bits, log2)
 
 
-def _requests(d: np.ndarray, h: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """A number for a place: document, text and offset."""
-    with np.errstate(over="ignore"):
-        return _mixed(d.view(np.uint64) * _BASE + h.view(np.uint64)) + lo.astype(np.uint64) * _STEP
+HOT = 500
+_RUN = "kmer long, hot boolean, ctx long, d long, h long, lo long, n long, text binary"
+
+
+def _window_hashes(texts: list[bytes], n: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the n windows of each run's text, one after the other."""
+    sizes = n + length - 1
+    begin = np.cumsum(sizes) - sizes
+    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    joined = b"".join(texts)
+    return Scan(joined, np.zeros(len(joined), bool), length, min(COVER, length)).windows()[at]
+
+
+def _later(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
+    """Which rows are not the first of those with equal keys, by order; equal in order too counts as the first."""
+    o = np.lexsort([*reversed(order), *reversed(keys)])
+    same = np.ones(len(o), bool)
+    same[:1] = False
+    for k in keys:
+        same[1:] &= k[o][1:] == k[o][:-1]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(o))))
+    differs = np.zeros(len(o), bool)
+    for x in order:
+        differs |= x[o] != x[o][head]
+    out = np.zeros(len(o), bool)
+    out[o] = same & differs
+    return out
+
+
+def _ranges(d: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (d, h, start, stop)], names=["d", "h", "start", "stop"])
+
+
+def _settled(kmer, ctx, d, h, lo, n, texts, length: int) -> list[pa.RecordBatch]:
+    """Repeats among all runs of some cover strings."""
+    alike = _later([kmer, ctx], [d, h, lo])
+    out = [_ranges(d[alike], h[alike], lo[alike], lo[alike] + n[alike] - 1 + length)]
+    o = np.lexsort((lo, h, d, ctx, kmer))
+    head = np.ones(len(o), bool)
+    head[1:] = (kmer[o][1:] != kmer[o][:-1]) | (ctx[o][1:] != ctx[o][:-1])
+    first = o[head]  # one run of each kind
+    _, inverse, kinds = np.unique(kmer[first], return_inverse=True, return_counts=True)
+    first = first[kinds[inverse] > 1]
+    if len(first):
+        m = n[first]
+        rep = np.repeat(first, m)
+        at = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(m) - m, m)
+        w = _window_hashes([texts[i] for i in first], m, length).view(np.int64)
+        late = np.flatnonzero(_later([kmer[rep], w], [d[rep], h[rep], at]))
+        out.append(_ranges(d[rep[late]], h[rep[late]], at[late], at[late] + length))
+    return out
 
 
 def repeats(docs: DataFrame, length: int, cover: int) -> DataFrame:
@@ -204,55 +252,67 @@ def repeats(docs: DataFrame, length: int, cover: int) -> DataFrame:
             got = [s.kmer for s, _, _ in scans(b["text"].to_pylist(), length, cover)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*got, np.zeros(0, np.uint64)]).view(np.int64))], names=["kmer"])
 
-    often = stage(map_arrow(docs.select("text"), kmers, "kmer long").groupBy("kmer").agg(F.count("*").alias("c")).where("c > 1").select("kmer"), "kmers")
-    shared = spark.sparkContext.broadcast(bitmap(often, "kmer", often.count()))
+    often = stage(map_arrow(docs.select("text"), kmers, "kmer long").groupBy("kmer").agg(F.count("*").alias("c")).where("c > 1"), "kmers")
+    crowded = often.where(F.col("c") > HOT)
+    shared = spark.sparkContext.broadcast((bitmap(often, "kmer", often.count()), bitmap(crowded, "kmer", crowded.count())))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
+        seen, hot = shared.value
         for b in batches:
             ds, hs = (b[c].to_numpy(zero_copy_only=False) for c in ("d", "h"))
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+            texts: list[bytes] = []
             for s, which, offset in scans(b["text"].to_pylist(), length, cover):
                 keep = np.flatnonzero(seen.has(s.kmer))
-                doc = which[s.start[keep]]
-                for o, x in zip(out, (s.kmer[keep].view(np.int64), s.contexts(keep).view(np.int64), ds[doc], hs[doc], offset[s.start[keep]], s.count[keep])):
+                doc, at, n = which[s.start[keep]], s.start[keep], s.count[keep]
+                raw = s.raw.tobytes()
+                texts += [raw[i : i + k + length - 1] for i, k in zip(at.tolist(), n.tolist())]
+                for o, x in zip(out, (s.kmer[keep].view(np.int64), hot.has(s.kmer[keep]), s.contexts(keep).view(np.int64), ds[doc], hs[doc], offset[at], n)):
                     o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*o, np.zeros(0, np.int64)])) for o in out], names=["kmer", "ctx", "d", "h", "lo", "n"])
+            flat = [np.concatenate([*o, np.zeros(0, bool if k == 1 else np.int64)]) for k, o in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in flat), pa.array(texts, pa.binary())], names=["kmer", "hot", "ctx", "d", "h", "lo", "n", "text"])
 
-    found = stage(map_arrow(docs, runs, "kmer long, ctx long, d long, h long, lo long, n long"), "runs")
-    first = stage(found.groupBy("kmer", "ctx").agg(F.min(F.struct("d", "h", "lo")).alias("f"), F.count("*").alias("c")).select("kmer", "ctx", "c", F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), F.col("f.lo").alias("flo")), "first")
-    alike = found.join(first.where("c > 1"), ["kmer", "ctx"]).where("d <> fd or h <> fh or lo <> flo").select("d", "h", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("stop"))
-    kinds = stage(first.groupBy("kmer").agg(F.count("*").alias("kinds")).where("kinds > 1").select("kmer"), "kinds")
-    asked = stage(first.join(kinds, "kmer", "left_semi").select(F.col("fd").alias("d"), F.col("fh").alias("h"), F.col("flo").alias("lo"), "kmer"), "asked")
+    found = stage(map_arrow(docs, runs, _RUN), "runs", codec="zstd")
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Cover strings with few runs: all runs of one meet in a task, a few hundred at most.
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kmer", "ctx", "d", "h", "lo", "n"]
+        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in names]
+        texts: list[bytes] = []
         for b in batches:
-            d, h, lo = (b[c].to_numpy(zero_copy_only=False) for c in ("d", "h", "lo"))
-            yield pa.RecordBatch.from_arrays([pa.array(_requests(d, h, lo).view(np.int64))], names=["place"])
-
-    places = map_arrow(asked.select("d", "h", "lo"), number, "place long")
-    wanted = spark.sparkContext.broadcast(bitmap(places, "place", asked.count()))
+            held = [np.concatenate((x, b[c].to_numpy(zero_copy_only=False))) for x, c in zip(held, names)]
+            texts += b["text"].to_pylist()
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last one may go on
+            if cut:
+                yield from _settled(*(x[:cut] for x in held), texts[:cut], length)
+                held, texts = [x[cut:] for x in held], texts[cut:]
+        if len(held[0]):
+            yield from _settled(*held, texts, length)
+
+    few = found.where("not hot").repartition("kmer").sortWithinPartitions("kmer").drop("hot")
+    settled = map_arrow(few, settle, "d long, h long, start long, stop long")
+
+    # Cover strings with many: counted and joined by Spark, which adds up equal runs before it moves them.
+    many = found.where("hot")
+    first = stage(many.groupBy("kmer", "ctx").agg(F.min(F.struct("d", "h", "lo", "n", "text")).alias("f"), F.count("*").alias("c")), "first")
+    heads = stage(first.where("c > 1").select("kmer", "ctx", F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), F.col("f.lo").alias("flo")), "heads")
+    alike = many.join(heads, ["kmer", "ctx"]).where("d <> fd or h <> fh or lo <> flo").select("d", "h", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("stop"))
+    kinds = stage(first.groupBy("kmer").agg(F.count("*").alias("kinds")).where("kinds > 1").select("kmer"), "kinds")
+    asked = first.join(kinds, "kmer", "left_semi").select("kmer", "f.*")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = wanted.value
         for b in batches:
-            ds, hs = (b[c].to_numpy(zero_copy_only=False) for c in ("d", "h"))
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for s, which, offset in scans(b["text"].to_pylist(), length, cover):
-                doc = which[s.start]
-                keep = np.flatnonzero(seen.has(_requests(ds[doc], hs[doc], offset[s.start])))
-                if len(keep):
-                    n = s.count[keep]
-                    at = np.repeat(s.start[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    doc = np.repeat(doc[keep], n)
-                    for o, x in zip(out, (np.repeat(s.kmer[keep], n).view(np.int64), s.windows()[at].view(np.int64), ds[doc], hs[doc], offset[at])):
-                        o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*o, np.zeros(0, np.int64)])) for o in out], names=["kmer", "w", "d", "h", "at"])
-
-    single = stage(map_arrow(docs, windows, "kmer long, w long, d long, h long, at long"), "windows")
+            kmer, d, h, lo, n = (b[c].to_numpy(zero_copy_only=False) for c in ("kmer", "d", "h", "lo", "n"))
+            if len(n):
+                rep = np.repeat(np.arange(len(n)), n)
+                at = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+                w = _window_hashes(b["text"].to_pylist(), n, length).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kmer[rep], w, d[rep], h[rep], at)], names=["kmer", "w", "d", "h", "at"])
+
+    single = stage(map_arrow(asked, windows, "kmer long, w long, d long, h long, at long"), "windows")
     least = stage(single.groupBy("kmer", "w").agg(F.min(F.struct("d", "h", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("kmer", "w", F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), F.col("f.at").alias("fat")), "least")
     later = single.join(least, ["kmer", "w"]).where("d <> fd or h <> fh or at <> fat").select("d", "h", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
-    return alike.union(later)
+    return settled.union(alike).union(later)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, cover: int = COVER, keep_text: bool = False) -> DataFrame:
