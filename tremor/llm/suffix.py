@@ -9,7 +9,7 @@ them, so only windows at equal cover strings can be equal, and consecutive windo
    of runs that differ, the windows of the earliest of each kind are compared one by one. A cover string with few runs is
    settled in one task; one with many by grouping and joining, so that no task gathers it.
 
-The texts are read once to count and once more to cut the runs out, which costs less than keeping all positions.
+The texts are read once to count and once more for either kind of run, which costs less than keeping all positions.
 """
 
 from __future__ import annotations
@@ -191,7 +191,7 @@ def bitmap(numbers: DataFrame, column: str, rows: int, most_log2: int = 29) -> S
 
 
 HOT = 500
-_RUN = "kmer long, hot boolean, ctx long, d long, h long, lo long, n long, text binary"
+_RUN = "kmer long, ctx long, d long, h long, lo long, n long, text binary"
 
 
 def _window_hashes(texts: list[bytes], n: np.ndarray, length: int) -> np.ndarray:
@@ -223,6 +223,17 @@ def _ranges(d: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (d, h, start, stop)], names=["d", "h", "start", "stop"])
 
 
+def _joined_windows(d: np.ndarray, h: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
+    """Windows as ranges: those that start one after the other in a document make one."""
+    o = np.lexsort((at, h, d))
+    d, h, at = d[o], h[o], at[o]
+    new = np.ones(len(o), bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (at[1:] > at[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(o)) - 1
+    return _ranges(d[first], h[first], at[first], at[last[: len(first)]] + length)
+
+
 def _settled(kmer, ctx, d, h, lo, n, texts, length: int) -> list[pa.RecordBatch]:
     """Repeats among all runs of some cover strings."""
     alike = _later([kmer, ctx], [d, h, lo])
@@ -239,7 +250,8 @@ def _settled(kmer, ctx, d, h, lo, n, texts, length: int) -> list[pa.RecordBatch]
         at = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(m) - m, m)
         w = _window_hashes([texts[i] for i in first], m, length).view(np.int64)
         late = np.flatnonzero(_later([kmer[rep], w], [d[rep], h[rep], at]))
-        out.append(_ranges(d[rep[late]], h[rep[late]], at[late], at[late] + length))
+        if len(late):
+            out.append(_joined_windows(d[rep[late]], h[rep[late]], at[late], length))
     return out
 
 
@@ -256,23 +268,21 @@ def repeats(docs: DataFrame, length: int, cover: int) -> DataFrame:
     crowded = often.where(F.col("c") > HOT)
     shared = spark.sparkContext.broadcast((bitmap(often, "kmer", often.count()), bitmap(crowded, "kmer", crowded.count())))
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch], crowded: bool) -> Iterator[pa.RecordBatch]:
         seen, hot = shared.value
         for b in batches:
             ds, hs = (b[c].to_numpy(zero_copy_only=False) for c in ("d", "h"))
-            out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             texts: list[bytes] = []
             for s, which, offset in scans(b["text"].to_pylist(), length, cover):
-                keep = np.flatnonzero(seen.has(s.kmer))
+                keep = np.flatnonzero(seen.has(s.kmer) & (hot.has(s.kmer) == crowded))
                 doc, at, n = which[s.start[keep]], s.start[keep], s.count[keep]
                 raw = s.raw.tobytes()
                 texts += [raw[i : i + k + length - 1] for i, k in zip(at.tolist(), n.tolist())]
-                for o, x in zip(out, (s.kmer[keep].view(np.int64), hot.has(s.kmer[keep]), s.contexts(keep).view(np.int64), ds[doc], hs[doc], offset[at], n)):
+                for o, x in zip(out, (s.kmer[keep].view(np.int64), s.contexts(keep).view(np.int64), ds[doc], hs[doc], offset[at], n)):
                     o.append(x)
-            flat = [np.concatenate([*o, np.zeros(0, bool if k == 1 else np.int64)]) for k, o in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in flat), pa.array(texts, pa.binary())], names=["kmer", "hot", "ctx", "d", "h", "lo", "n", "text"])
-
-    found = stage(map_arrow(docs, runs, _RUN), "runs", codec="zstd")
+            flat = [np.concatenate([*o, np.zeros(0, np.int64)]) for o in out]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in flat), pa.array(texts, pa.binary())], names=["kmer", "ctx", "d", "h", "lo", "n", "text"])
 
     # Cover strings with few runs: all runs of one meet in a task, a few hundred at most.
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,11 +299,11 @@ def repeats(docs: DataFrame, length: int, cover: int) -> DataFrame:
         if len(held[0]):
             yield from _settled(*held, texts, length)
 
-    few = found.where("not hot").repartition("kmer").sortWithinPartitions("kmer").drop("hot")
+    few = map_arrow(docs, lambda batches: runs(batches, False), _RUN).repartition("kmer").sortWithinPartitions("kmer")
     settled = map_arrow(few, settle, "d long, h long, start long, stop long")
 
     # Cover strings with many: counted and joined by Spark, which adds up equal runs before it moves them.
-    many = found.where("hot")
+    many = stage(map_arrow(docs, lambda batches: runs(batches, True), _RUN), "runs", codec="zstd")
     first = stage(many.groupBy("kmer", "ctx").agg(F.min(F.struct("d", "h", "lo", "n", "text")).alias("f"), F.count("*").alias("c")), "first")
     heads = stage(first.where("c > 1").select("kmer", "ctx", F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), F.col("f.lo").alias("flo")), "heads")
     alike = many.join(heads, ["kmer", "ctx"]).where("d <> fd or h <> fh or lo <> flo").select("d", "h", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("stop"))
