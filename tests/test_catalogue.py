@@ -1,4 +1,4 @@
-"""Every query against its SQL, on the smallest tables."""
+"""Every query against its SQL."""
 
 import datetime
 import math
@@ -9,7 +9,7 @@ import pytest
 
 from tremor.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
