@@ -535,18 +535,18 @@ def ks_d_plus(spark, d):
     return rounded(stats.d_plus(stats.cdf(stats.distance_counts(stats.window_distances(a, b, 0, 72))), stats.cdf(stats.reference_counts(a, b))), "d_plus", "two_sided")
 
 
-ITER = 60
+ITER = 60  # of the forms with SQL; the registered_* queries run K.ITERATIONS
 NULL_SQL = f"""{QUAKES_SQL}, {KP_SQL}, pool AS (SELECT idx, (SELECT count(*) FROM targets WHERE p >= time_ms AND p < time_ms + 24 * {HOUR}) AS o, 24 * coalesce({rate_sql('time_ms')}, 0) AS e FROM grid WHERE kp IS NOT NULL),
 trig AS (SELECT count(*) AS n FROM onsets),
 drawn AS (SELECT i AS iter, o, e, row_number() OVER (PARTITION BY i ORDER BY md5('7:' || i || ':' || idx), idx) AS r FROM pool, range({ITER}) t(i)),
 nulls AS (SELECT iter, sum(o) / sum(e) AS ratio FROM drawn, trig WHERE r <= n GROUP BY 1)"""
 
 
-def kp_null(spark, d):
+def kp_null(spark, d, iterations=ITER):
     g = grid(spark, d, "kp")
     table = stats.hour_table(S.eligible(g, "kp", 1), big(spark, d), 0, 24, START_MS, END_MS, HALF)
     n = S.episodes(g, "kp", 6.0).count()
-    return stats.null_by_hash(table, n, ITER, 7)
+    return stats.null_by_hash(table, n, iterations, 7)
 
 
 @query(f"WITH {NULL_SQL} SELECT iter, round(ratio, 6) AS ratio FROM nulls")
@@ -570,6 +570,26 @@ def permutation_p(spark, d):
     return rounded(stats.p_value(kp_null(spark, d), 1.0, ITER), "p")
 
 
+@query()
+def registered_null_distribution(spark, d):
+    return rounded(kp_null(spark, d, K.ITERATIONS), "ratio")
+
+
+@query()
+def registered_null_summary(spark, d):
+    return rounded(stats.null_summary(kp_null(spark, d, K.ITERATIONS)), "mean", "sd", "q50", "q90", "q95", "q99")
+
+
+@query()
+def registered_null_histogram(spark, d):
+    return stats.null_histogram(H.written(kp_null(spark, d, K.ITERATIONS), "null"))
+
+
+@query()
+def registered_permutation_p(spark, d):
+    return rounded(stats.p_value(kp_null(spark, d, K.ITERATIONS), 1.0, K.ITERATIONS), "p")
+
+
 @query("""WITH t AS (SELECT p_partkey AS test_id, ((p_partkey * 7919) % 1000 + 1) / 1001.0 AS p FROM part WHERE p_partkey <= 40), r AS (SELECT *, row_number() OVER (ORDER BY p, test_id) AS k FROM t),
 a AS (SELECT *, least(1.0, min(p * 60 / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r) SELECT test_id, round(p, 6) AS p, round(q, 6) AS p_adjusted, q <= 0.3 AS rejected FROM a""")
 def bh_adjusted(spark, d):
@@ -592,7 +612,7 @@ TARGETS = f", targets AS (SELECT time_ms AS p FROM independent WHERE time_ms BET
 
 
 def parameters(h: str, **more) -> H.Parameters:
-    return H.Parameters.of(**({"hypothesis": h, "start_ms": START_MS, "end_ms": END_MS, "half_ms": HALF, "iterations": 100} | more))
+    return H.Parameters.of(**({"hypothesis": h, "start_ms": START_MS, "end_ms": END_MS, "half_ms": HALF} | more))
 
 
 @query(gk_sql() + TARGETS + f", {GRID_SQL}, {episodes_sql('k', 'kp >= 6', 1)}, {episodes_sql('s', 'dst <= -100', 1)}, kt AS (SELECT onset_ms AS t FROM k), st AS (SELECT onset_ms AS t FROM s) " + lag_tests_sql("H4c/kp>=6", "", "kt", K.LAGS["H4c"]) + " UNION ALL " + lag_tests_sql("H4c/dst<=-100", "", "st", K.LAGS["H4c"]))
