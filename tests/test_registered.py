@@ -1,8 +1,11 @@
 """The registered tests in their whole form."""
 
 import hashlib
+import math
 import os
+import random
 
+import numpy as np
 import pytest
 
 from tremor import constants as K
@@ -36,3 +39,46 @@ def test_null_queries_run_the_registered_permutations(spark):
     null = catalogue.QUERIES["registered_null_distribution"](spark, SF)
     assert null.count() == K.ITERATIONS
     assert catalogue.QUERIES["registered_permutation_p"](spark, SF).first().p >= 1 / (1 + K.ITERATIONS)
+
+
+def test_h5_null_equals_brute_force(spark):
+    rng = random.Random(5)
+    events = [(i, rng.randrange(200) * K.HOUR_MS + rng.choice([0, 1, 999]), rng.uniform(-80, 80), rng.uniform(-180, 180)) for i in range(60)]
+    pool = spark.range(200).selectExpr("id as idx", f"id * {K.HOUR_MS} as time_ms")
+    targets = spark.createDataFrame(events, "event_id long, time_ms long, latitude double, longitude double")
+    triggers = targets.where("event_id < 12")
+    reference = stats.cdf(stats.reference_counts(triggers, targets)).cache()
+    known = [r.cdf for r in reference.orderBy("bin").collect()]
+    anti = [(-la, lo - 180 if lo >= 0 else lo + 180) for _, _, la, lo in sorted(events[:12], key=lambda e: (e[1], e[0]))]
+
+    def statistic(hours):
+        counts = [0] * K.KS_BINS
+        for h, (la, lo) in zip(sorted(hours), anti):
+            for _, t, la2, lo2 in events:
+                if h * K.HOUR_MS < t < (h + 24) * K.HOUR_MS:
+                    a, b, c, d = map(math.radians, (la, lo, la2, lo2))
+                    x = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+                    counts[min(K.KS_BINS - 1, int(2 * K.EARTH_RADIUS_KM * math.asin(min(1, math.sqrt(x))) / K.KS_BIN_KM))] += 1
+        upto = [sum(counts[: k + 1]) / max(1, sum(counts)) for k in range(K.KS_BINS)]
+        return max(0.0, *(u - r for u, r in zip(upto, known)))
+
+    given = (pool, triggers, targets, reference, 0, 24, 15, 3)
+    by_hash = {r.iter: r.d_plus for r in stats.d_plus_null_by_hash(*given).collect()}
+    by_numpy = {r.iter: r.d_plus for r in stats.d_plus_null_by_numpy(*given).collect()}
+    assert len(by_hash) == len(by_numpy) == 15
+    for i in range(15):
+        drawn = sorted(range(200), key=lambda h: (hashlib.md5(f"3:{i}:{h}".encode()).hexdigest(), h))[:12]
+        assert abs(by_hash[i] - statistic(drawn)) < 1e-9
+        assert abs(by_numpy[i] - statistic(np.random.default_rng([3, i]).choice(200, size=12, replace=False))) < 1e-9
+    with pytest.raises(ValueError):
+        stats.d_plus_null_by_hash(pool.limit(11), *given[1:])
+    with pytest.raises(ValueError):
+        stats.null_by_hash(pool.selectExpr("idx", "1.0D as expected", "1L as observed"), 201, 5, 7)
+
+
+@tables
+@pytest.mark.parametrize("name, tests", [("h1b_with_null", 4), ("h2b_with_null", 2), ("h3b_with_null", 4), ("h5_test", 1)])
+def test_registered_tests_have_p_values(spark, name, tests):
+    rows = catalogue.QUERIES[name](spark, SF).collect()
+    assert len(rows) == tests
+    assert all(1 / (1 + K.ITERATIONS) <= r.p <= r.p_run <= r.p_matrix <= 1 and r.rejected == (r.p_matrix <= K.FALSE_DISCOVERY_RATE) for r in rows)

@@ -52,6 +52,8 @@ def hash_draws(pool: DataFrame, n: int, iterations: int, seed: int) -> DataFrame
 
 def null_by_hash(table: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
     """(iter, ratio) of the permutation null; no value where nothing is expected."""
+    if n > table.count():
+        raise ValueError("more draws than hours")
     drawn = hash_draws(table, n, iterations, seed).join(table.select("idx", "expected", "observed"), "idx")
     s = drawn.groupBy("iter").agg(F.sum("observed").alias("o"), F.sum("expected").alias("e"))
     return s.select("iter", F.when(F.col("e") > 0, F.col("o") / F.col("e")).alias("ratio"))
@@ -179,3 +181,65 @@ def reference_counts(triggers: DataFrame, targets: DataFrame, block_rows: int =
 def d_plus(observed: DataFrame, reference: DataFrame) -> DataFrame:
     both = observed.select("bin", F.col("cdf").alias("a")).join(reference.select("bin", F.col("cdf").alias("b")), "bin")
     return both.agg(F.max(F.greatest(F.col("a") - F.col("b"), F.lit(0.0))).alias("d_plus"), F.max(F.abs(F.col("a") - F.col("b"))).alias("two_sided"))
+
+
+def numbered(df: DataFrame, time: str, tie: str, width: int = K.DAY_MS) -> DataFrame:
+    """df with `number` from 1 in order of time: ranks within a day, and the counts of the days before."""
+    days = df.withColumn("_day", F.floor(F.col(time) / width).cast("long"))
+    before = days.groupBy("_day").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("_day").orderBy(time, tie))
+    return days.withColumn("_rank", rank).join(before, "_day").withColumn("number", F.col("_before") + F.col("_rank")).drop("_day", "_rank", "_n", "_before")
+
+
+def d_plus_null_by_hash(pool: DataFrame, triggers: DataFrame, targets: DataFrame, reference: DataFrame, a_hours: int, b_hours: int, iterations: int, seed: int) -> DataFrame:
+    """(iter, d_plus) of triggers redrawn over the pool's hours: in each draw the k-th trigger takes the k-th hour, its antipode stays."""
+    n = triggers.count()
+    if n > pool.count():
+        raise ValueError("more draws than hours")
+    drawn = hash_draws(pool, n, iterations, seed).withColumn("number", F.row_number().over(Window.partitionBy("iter").orderBy("idx")))
+    la, lo = geo.antipode("latitude", "longitude")
+    anti = numbered(triggers, "time_ms", "event_id").select("number", la.alias("alat"), lo.alias("alon"))
+    placed = drawn.join(anti, "number").join(pool.select("idx", F.col("time_ms").alias("t_ms")), "idx")
+    points = targets.select("time_ms", "latitude", "longitude")
+    hit = interval_join(placed, points, F.col("t_ms") + a_hours * K.HOUR_MS + 1, F.col("t_ms") + b_hours * K.HOUR_MS - 1, "time_ms", (b_hours - a_hours) * K.HOUR_MS)
+    bins = hit.groupBy("iter", F.least(F.lit(K.KS_BINS - 1), F.floor(geo.haversine_km("alat", "alon", "latitude", "longitude") / K.KS_BIN_KM)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    each = Window.partitionBy("iter")
+    # The reference only rises between the bins of a draw, so the largest difference is at one of them.
+    share = bins.withColumn("_cdf", F.sum("n").over(each.orderBy("bin")) / F.sum("n").over(each)).join(F.broadcast(reference.select("bin", "cdf")), "bin")
+    found = share.groupBy("iter").agg(F.max(F.greatest(F.col("_cdf") - F.col("cdf"), F.lit(0.0))).alias("d_plus"))
+    return pool.sparkSession.range(iterations).select(F.col("id").alias("iter")).join(found, "iter", "left").select("iter", F.coalesce("d_plus", F.lit(0.0)).alias("d_plus"))
+
+
+def d_plus_null_by_numpy(pool: DataFrame, triggers: DataFrame, targets: DataFrame, reference: DataFrame, a_hours: int, b_hours: int, iterations: int, seed: int, most_rows: int = 4_000_000) -> DataFrame:
+    """The same null by numpy in tasks of iterations: hours, antipodes and targets (counted first) go to every executor."""
+    n, hours = triggers.count(), pool.count()
+    if n > hours:
+        raise ValueError("more draws than hours")
+    if max(hours, targets.count()) > most_rows:
+        return d_plus_null_by_hash(pool, triggers, targets, reference, a_hours, b_hours, iterations, seed)
+    la, lo = geo.antipode("latitude", "longitude")
+    times = pool.orderBy("idx").select("time_ms").toPandas()["time_ms"].to_numpy()
+    anti = np.radians(triggers.orderBy("time_ms", "event_id").select(la, lo).toPandas().to_numpy(dtype=float))
+    at = targets.orderBy("time_ms", "event_id").select("time_ms", "latitude", "longitude").toPandas()
+    known = reference.orderBy("bin").select("cdf").toPandas()["cdf"].to_numpy()
+    shared = pool.sparkSession.sparkContext.broadcast((times, anti, at["time_ms"].to_numpy(), np.radians(at[["latitude", "longitude"]].to_numpy(dtype=float)), known))
+    hour_ms, km, width, bins = K.HOUR_MS, 2 * K.EARTH_RADIUS_KM, K.KS_BIN_KM, K.KS_BINS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        times, anti, t, where, known = shared.value
+        for b in batches:
+            out = []
+            for i in b["id"]:
+                drawn = times[np.sort(np.random.default_rng([seed, int(i)]).choice(len(times), size=n, replace=False))]
+                first, last = np.searchsorted(t, drawn + a_hours * hour_ms, side="right"), np.searchsorted(t, drawn + b_hours * hour_ms, side="left")
+                each = np.maximum(last - first, 0)
+                k = np.repeat(np.arange(n), each)
+                j = np.arange(len(k)) + np.repeat(first - (np.cumsum(each) - each), each)
+                x, y = anti[k], where[j]
+                h = np.sin((y[:, 0] - x[:, 0]) / 2) ** 2 + np.cos(x[:, 0]) * np.cos(y[:, 0]) * np.sin((y[:, 1] - x[:, 1]) / 2) ** 2
+                distance = km * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+                upto = np.cumsum(np.bincount(np.minimum(bins - 1, (distance / width).astype(np.int64)), minlength=bins))
+                out.append(max(0.0, float(np.max(upto / max(1, upto[-1]) - known))))
+            yield pd.DataFrame({"iter": b["id"], "d_plus": out})
+
+    return pool.sparkSession.range(iterations).mapInPandas(run, "iter long, d_plus double")

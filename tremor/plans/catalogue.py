@@ -646,9 +646,26 @@ def h4c_with_null(spark, d):
     return H.h4c(X.quakes(spark, d), X.series(spark, d), parameters("H4c", mode="numpy"))
 
 
+@query()
+def h3b_with_null(spark, d):
+    return H.h3b(X.quakes(spark, d), X.series(spark, d), parameters("H3b", mode="numpy"))
+
+
+@query()
+def h1b_with_null(spark, d):
+    big_flares = X.flares(spark, d).where(scan.flare_at_least(F.col("flare_class"), F.col("magnitude"), "M"))
+    return H.h1b(X.quakes(spark, d), big_flares, parameters("H1b", mode="numpy"))
+
+
+@query()
+def h2b_with_null(spark, d):
+    direct = X.cmes(spark, d).where(scan.is_direct(F.col("glancing"), F.col("minor"))).select("time_ms")
+    return H.h2b(X.quakes(spark, d), direct, parameters("H2b", mode="numpy"))
+
+
 @query()
 def h5_test(spark, d):
-    return rounded(H.h5(X.quakes(spark, d), parameters("H5")), "d_plus", "two_sided")
+    return rounded(H.h5(X.quakes(spark, d), parameters("H5", mode="numpy")), "d_plus", "two_sided")
 
 
 # ------------------------------------------------------------------ encodings

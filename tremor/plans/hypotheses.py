@@ -126,15 +126,24 @@ def h2b(events: DataFrame, arrivals: DataFrame, p: Parameters, with_null: bool =
     return adjusted(rows, p, with_null)
 
 
-def h5(events: DataFrame, p: Parameters) -> DataFrame:
-    """Independent mainshocks' antipodes: distances of targets in the window against all pairs, by D+ and two-sided D."""
+def h5(events: DataFrame, p: Parameters, with_null: bool = True) -> DataFrame:
+    """Independent mainshocks' antipodes: distances of targets in the window against all pairs, by D+ and two-sided D.
+
+    The null redraws the triggers' instants over every hour of the span; antipodes and targets stay.
+    """
     targets = targets_of(events, p)
     triggers = targets.where(F.col("magnitude") >= K.H5_TRIGGER_MAGNITUDE)
     (a, b), = p.lags
     window = written(stats.window_distances(triggers, targets, a, b), "window")
-    d = stats.d_plus(stats.cdf(stats.distance_counts(window)), stats.cdf(stats.reference_counts(triggers, targets)))
+    reference = written(stats.cdf(stats.reference_counts(triggers, targets)), "reference")
+    d = stats.d_plus(stats.cdf(stats.distance_counts(window)), reference)
     pairs = window.agg(F.count("*").alias("pairs"))
-    return pairs.join(F.broadcast(d)).select(F.lit(f"H5/M{K.H5_TRIGGER_MAGNITUDE}+ mainshock/{a}-{b}h").alias("test_id"), "pairs", "d_plus", "two_sided")
+    row = pairs.join(F.broadcast(d)).select(F.lit(f"H5/M{K.H5_TRIGGER_MAGNITUDE}+ mainshock/{a}-{b}h").alias("test_id"), "pairs", "d_plus", "two_sided")
+    if with_null:
+        draw = stats.d_plus_null_by_numpy if p.mode == "numpy" else stats.d_plus_null_by_hash
+        null = draw(every_hour(events.sparkSession, p), triggers, targets, reference, a, b, p.iterations, K.SEEDS["H5"])
+        row = row.join(F.broadcast(stats.p_value(null.withColumnRenamed("d_plus", "ratio"), row.first()["d_plus"], p.iterations)))
+    return adjusted([row], p, with_null)
 
 
 def adjusted(rows: list[DataFrame], p: Parameters, with_null: bool) -> DataFrame:
