@@ -82,3 +82,33 @@ def test_registered_tests_have_p_values(spark, name, tests):
     rows = catalogue.QUERIES[name](spark, SF).collect()
     assert len(rows) == tests
     assert all(1 / (1 + K.ITERATIONS) <= r.p <= r.p_run <= r.p_matrix <= 1 and r.rejected == (r.p_matrix <= K.FALSE_DISCOVERY_RATE) for r in rows)
+
+
+def adjusted(ps, m):
+    order = sorted(range(len(ps)), key=lambda i: ps[i])
+    out, least = {}, 1.0
+    for rank in range(len(ps), 0, -1):
+        least = min(least, ps[order[rank - 1]] * m / rank)
+        out[order[rank - 1]] = least
+    return out
+
+
+@pytest.mark.parametrize("family", [None, 700])
+def test_benjamini_hochberg_in_ranges(spark, family):
+    rng = random.Random(9)
+    ps = [rng.choice([rng.random(), rng.random() ** 8, 0.25, 0.003]) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(ps)), "test_id long, p double")
+    want = adjusted(ps, family or 600)
+    for rows in (7, 100, 10_000):
+        got = stats.benjamini_hochberg(df, 0.05, family, bucket_rows=rows).collect()
+        assert len(got) == 600 and all(abs(r.p_adjusted - want[r.test_id]) < 1e-12 and r.rejected == (r.p_adjusted <= 0.05) for r in got)
+    assert stats.benjamini_hochberg(df.limit(0)).collect() == []
+
+
+@tables
+def test_bh_takes_every_part(spark):
+    parts = [r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()]
+    want = adjusted([((k * 7919) % 1000 + 1) / 1001 for k in parts], len(parts))
+    got = {r.test_id: r.p_adjusted for r in catalogue.QUERIES["bh_adjusted_all"](spark, SF).collect()}
+    assert len(got) == len(parts) > 41
+    assert all(abs(got[k] - want[i]) < 1e-6 for i, k in enumerate(parts))

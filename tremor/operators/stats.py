@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tremor import constants as K
 from tremor.functions import geo
 from tremor.operators.rangejoin import counts_before, interval_join
+from tremor.operators.tables import written
 
 
 def local_rate(instants: DataFrame, targets: DataFrame, start_ms: int, end_ms: int, half_ms: int = int(K.BASELINE_DAYS * K.DAY_MS / 2)) -> DataFrame:
@@ -107,16 +108,31 @@ def null_histogram(null: DataFrame, bins: int = 60) -> DataFrame:
     return null.sparkSession.range(bins).select(F.col("id").alias("bin")).join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def benjamini_hochberg(tests: DataFrame, q: float = K.FALSE_DISCOVERY_RATE, family: int | None = None, p: str = "p", key: str = "test_id") -> DataFrame:
-    """Adjusted p by rank, the running least from the largest rank down, at most 1. One row a test: a window without a key is small."""
+def benjamini_hochberg(tests: DataFrame, q: float = K.FALSE_DISCOVERY_RATE, family: int | None = None, p: str = "p", bucket_rows: int = 16_384) -> DataFrame:
+    """Adjusted p by rank, the running least from the largest rank down, at most 1.
+
+    Equal p share the adjusted p of the last of them, so distinct values are counted first; these are ranked in ranges of
+    about bucket_rows, with counts carried up and the least values carried down between the ranges.
+    """
     n = tests.count()
     if family is not None and family < n:
         raise ValueError("the family is smaller than the tests given")
     m = family or n
-    ranked = tests.withColumn("_rank", F.row_number().over(Window.orderBy(p, key)))
-    raw = F.col(p) * m / F.col("_rank")
-    adjusted = F.least(F.lit(1.0), F.min(raw).over(Window.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)))
-    return ranked.withColumn("p_adjusted", adjusted).withColumn("rejected", F.col("p_adjusted") <= q).drop("_rank")
+    values = written(tests.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")), "values")
+    distinct = values.count()
+    ranges = -(-distinct // bucket_rows)
+    splits = sorted(set(values.approxQuantile("_p", [k / ranges for k in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
+    placed = values.withColumn("_g", F.size(F.filter(F.array(*[F.lit(x) for x in splits]).cast("array<double>"), lambda x: x < F.col("_p"))) if splits else F.lit(0))
+    sums = placed.groupBy("_g").agg(F.sum("_n").alias("_sum"))
+    before = sums.select("_g", F.coalesce(F.sum("_sum").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    each = Window.partitionBy("_g").orderBy("_p")
+    ranked = placed.join(F.broadcast(before), "_g").withColumn("_raw", F.col("_p") * m / (F.col("_before") + F.sum("_n").over(each)))
+    ranked = written(ranked, "ranked")
+    later = ranked.groupBy("_g").agg(F.min("_raw").alias("_min")).select("_g", F.min("_min").over(Window.orderBy("_g").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    least = F.least(F.lit(1.0), F.min("_raw").over(each.rowsBetween(0, Window.unboundedFollowing)), F.col("_later"))
+    adjusted = ranked.join(F.broadcast(later), "_g").select("_p", least.alias("p_adjusted"))
+    found = tests.join(F.broadcast(adjusted) if distinct <= 1_000_000 else adjusted, tests[p].eqNullSafe(adjusted["_p"])).drop("_p")
+    return found.withColumn("rejected", F.col("p_adjusted") <= q)
 
 
 def subsolar(time_ms: Column) -> tuple[Column, Column]:

@@ -597,6 +597,13 @@ def bh_adjusted(spark, d):
     return rounded(stats.benjamini_hochberg(t, 0.3, 60), "p", "p_adjusted")
 
 
+@query()
+def bh_adjusted_all(spark, d):
+    """The adjustment of bh_adjusted over every part, in a family of their count."""
+    t = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey as test_id", "((p_partkey * 7919) % 1000 + 1) / 1001.0D as p")
+    return rounded(stats.benjamini_hochberg(t, 0.3), "p", "p_adjusted")
+
+
 # ------------------------------------------------------------------ the registered tests, over the span there is
 
 def lag_tests_sql(name: str, targets: str, trig: str, lags: list[tuple[int, int]]) -> str:
