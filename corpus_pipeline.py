@@ -25,7 +25,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents appear as often as the mix of sources takes them."""
+    """The blocks of text that the mix of sources takes."""
     return mixing.mixed_documents(docs)
 
 

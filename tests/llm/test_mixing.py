@@ -68,3 +68,34 @@ def test_shards_hold_all_slots(spark):
     s = mixing.slots(mixing.targets(sizes), block=4)
     assert s.count() == s.select("_k", "draw").distinct().count()
     assert s.groupBy("shard", "_k").count().agg(F.sum("count")).first()[0] == s.count()
+
+
+def test_mixed_documents_are_the_drawn_ranges(spark):
+    df, rows = docs(spark)
+    out = mixing.mixed_documents(df, block=16)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    taken, emitted = {}, {}
+    for r in mixing.mix(df, block=16).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    texts = {}
+    for d, t, _, _ in rows:
+        texts.setdefault(d, []).append(t)
+    for r in out.collect():
+        assert any(t and r.text in t for t in texts[r.doc_id])
+        emitted[r.doc_id] = emitted.get(r.doc_id, 0) + size(r.text)
+    assert emitted == {k: v for k, v in taken.items() if v}
+    again = mixing.mixed_documents(df.repartition(7), block=16)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+
+
+def test_one_long_document_meets_its_target(spark, monkeypatch):
+    long = "  " + " ".join(f"w{i}" for i in range(20_000)) + "\n"
+    df = spark.createDataFrame([(1, long, "z", len(long))] + [(i, f"a{i} " * 5000, "a", 0) for i in range(2, 14)], "doc_id long, text string, source string, n_chars long")
+    target = next(r.target for r in mixing.mix(df).collect() if r.doc_id == 1)
+    mine = [r for r in mixing.mixed_documents(df).collect() if r.doc_id == 1]
+    words = sum(len(r.text.split()) for r in mine)
+    assert target % 20_000 > 1000 and abs(words - target) <= 2 * mixing.BLOCK_WORDS
+    assert all(r.n_chars == len(r.text) and r.text in long for r in mine)
+    monkeypatch.setattr(mixing, "SLOTS_A_SHARD", 64)  # many shards: pieces in each
+    cut = [r.text for r in mixing.mixed_documents(df).collect() if r.doc_id == 1]
+    assert len(cut) > len(mine) and sum(len(t.split()) for t in cut) == words

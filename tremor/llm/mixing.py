@@ -2,7 +2,8 @@
 
 Every source is one stream of words, cut into blocks of fixed length. Its share of the mix is a number of slots; slots are
 dealt over output shards by a multinomial draw; a pseudorandom permutation of the source's block indices, a new one each
-time the source is used up, says which block a slot takes; documents and draws meet in a join by block index.
+time the source is used up, says which block a slot takes; documents and draws meet in a join by block index. The mix is
+the text of the drawn blocks, cut at the documents' ends, dealt by shard.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremor.llm.common import WORD, broadcast_if_small, buckets_for, stage, uniform
+from tremor.llm.common import WORD, broadcast_if_small, buckets_for, stage
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
 ROUNDS = 16
 SLOTS_A_SHARD = 4096
+_SPACE = r"\x20\x09-\x0D"
+#: A word with the space after it, the first also with the space before it: all of them together are the text.
+_PART = rf"(?:^[{_SPACE}]+)?[^{_SPACE}]+[{_SPACE}]*"
 _RANGE = 4096  # slots that share a key when slots look up their source
 
 
@@ -78,44 +82,66 @@ def slots(sources: DataFrame, *, block: int = BLOCK_WORDS, most: int = 3, seed:
     return found.select(F.pmod(F.xxhash64(F.lit(seed), "_k", "draw"), F.lit(shards)).alias("shard"), "_k", "draw", index.alias("block"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = BLOCK_WORDS, seed: int = 6) -> DataFrame:
-    """Per document: size in words, its source's size and target, and the words of it that the mix takes.
+def _drawn(sizes: DataFrame, *, weights: tuple[int, ...], most: int, block: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mix as word ranges, of staged rows (_row, _id, source, size, _hash).
 
-    Null and empty texts have size 0 and nothing taken. A null source is a source of its own, last in order. Repeated rows
-    are documents of their own. Reruns agree: every choice is a hash of ids, ranks and the seed. An empty table gives an
-    empty result.
+    Gives the rows with their source's rank; the sources; and the ranges, one row a slot and document: shard, source rank,
+    draw, and the document's _row with the words [_from, _to) that the slot's block has of it.
     """
-    sizes = stage(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     sources = stage(targets(sizes, weights=weights, most=most), "sources")
     n_sources = sources.count()
-    ranked = sizes.join(broadcast_if_small(sources, n_sources), sizes["source"].eqNullSafe(sources["source"])).select("_id", "size", "_k")
+    ranked = sizes.join(broadcast_if_small(sources, n_sources), sizes["source"].eqNullSafe(sources["source"])).select("_row", "_id", "size", "_hash", "_k")
     salted = ranked.where("size > 0").withColumn("_b", F.pmod(F.xxhash64("_id", "size"), F.lit(buckets_for(sizes.count()))))
     sub = salted.groupBy("_k", "_b").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = sub.select("_k", "_b", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_k", "_b").orderBy("_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_k", "_b").orderBy("_id", "size", "_hash", "_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = salted.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0))).join(before, ["_k", "_b"]).withColumn("_start", F.col("_before") + F.col("_in"))
-    cut = placed.select("_id", "size", "_k", "_start", F.explode(F.sequence(F.expr(f"_start div {block}"), F.expr(f"(_start + size - 1) div {block}"))).alias("block"))
-    overlap = F.least(F.col("_start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("_start"), F.col("block") * block)
-    drawn = slots(sources, block=block, most=most, seed=seed).groupBy("_k", "block").agg(F.count("*").alias("_times"))
-    joined = cut.withColumn("_overlap", overlap).join(drawn, ["_k", "block"], "left")
-    taken = joined.groupBy("_k", "_start", "_id", "size").agg(F.sum(F.col("_overlap") * F.coalesce("_times", F.lit(0))).cast("long").alias("taken"))
-    whole = taken.select("_id", "size", "_k", "taken").unionByName(ranked.where("size = 0").select("_id", "size", "_k", F.lit(0).cast("long").alias("taken")))
-    about = broadcast_if_small(sources.select("_k", "source_size", "target"), n_sources)
-    return whole.join(about, "_k").select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken")
+    cut = placed.select("_row", "size", "_k", "_start", F.explode(F.sequence(F.expr(f"_start div {block}"), F.expr(f"(_start + size - 1) div {block}"))).alias("block"))
+    first = F.greatest(F.col("block") * block - F.col("_start"), F.lit(0))
+    last = F.least((F.col("block") + 1) * block - F.col("_start"), F.col("size"))
+    ranges = cut.select("_row", "_k", "block", first.alias("_from"), last.alias("_to")).join(slots(sources, block=block, most=most, seed=seed), ["_k", "block"])
+    return ranked, sources, ranges.select("shard", "_k", "draw", "block", "_row", "_from", "_to")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = BLOCK_WORDS, seed: int = 6) -> DataFrame:
+    """Per document: size in words, its source's size and target, and the words of it that the mix takes.
+
+    The words are those of the ranges that mixed_documents cuts. Null and empty texts have size 0 and nothing taken. A null
+    source is a source of its own, last in order. Repeated rows are documents of their own. Reruns agree: every choice is a
+    hash of ids, ranks and the seed. An empty table gives an empty result.
+    """
+    text = F.col(text_col)
+    sizes = stage(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("_hash")), "sizes")
+    ranked, sources, ranges = _drawn(sizes, weights=weights, most=most, block=block, seed=seed)
+    taken = ranges.groupBy("_row").agg(F.sum(F.col("_to") - F.col("_from")).alias("_taken"))
+    about = broadcast_if_small(sources.select("_k", "source_size", "target"), sources.count())
+    whole = ranked.join(taken, "_row", "left").join(about, "_k")
+    return whole.select(F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
-    """The documents as often as the mix takes them, with the columns they came with.
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = BLOCK_WORDS, seed: int = 6) -> DataFrame:
+    """The text of the drawn blocks, with the columns of the documents it comes from and the length column set anew.
 
-    A document of which the mix takes t of s words appears floor(t / s) times, and once more with the probability that is
-    left, by a hash of its id. Rows that share an id share its count.
+    A row is a range of one document's words: neighbouring blocks that the same pass over the source deals to the same shard
+    are one range, so that a document taken whole is one row. The words of a shard lie together, by source and draw.
     """
-    shares = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **more).groupBy(id_col).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    ratio = F.when(F.col("_size") > 0, F.col("_taken") / F.col("_size")).otherwise(0.0)
-    times = stage(shares.select(F.col(id_col).alias("_id"), (F.floor(ratio) + F.when(uniform(F.col(id_col), F.lit(66)) < ratio - F.floor(ratio), 1).otherwise(0)).cast("int").alias("_times")).where("_times > 0"), "times")
-    kept = docs.join(broadcast_if_small(times, times.count()), docs[id_col].eqNullSafe(times["_id"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    text = F.col(text_col)
+    keyed = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    sizes = stage(keyed.select("_row", F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("_hash")), "sizes")
+    _, sources, ranges = _drawn(sizes, weights=weights, most=most, block=block, seed=seed)
+    n = sources.select("_k", F.ceil(F.col("source_size") / block).cast("long").alias("_n"))
+    passes = ranges.join(broadcast_if_small(n, sources.count()), "_k").withColumn("_pass", F.expr("draw div _n"))
+    same = Window.partitionBy("_row", "shard", "_pass").orderBy("block")
+    runs = passes.withColumn("_run", F.col("block") - F.row_number().over(same)).groupBy("_row", "shard", "_pass", "_run").agg(F.first("_k").alias("_k"), F.min("draw").alias("draw"), F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    lists = runs.groupBy("_row").agg(F.collect_list(F.struct("shard", "_k", "draw", "_from", "_to")).alias("_ranges"))
+    # The lambda over an array of one evaluates the split once a document, not once a range.
+    parts = F.array(F.regexp_extract_all(text, F.lit(_PART), F.lit(0)))
+    cut = F.element_at(F.transform(parts, lambda w: F.transform("_ranges", lambda r: F.struct(r["shard"].alias("shard"), r["_k"].alias("_k"), r["draw"].alias("draw"), F.array_join(F.slice(w, (r["_from"] + 1).cast("int"), (r["_to"] - r["_from"]).cast("int")), "").alias("text")))), 1)
+    found = keyed.join(lists, "_row").select(*docs.columns, F.explode(cut).alias("_cut"))
+    dealt = found.repartition(F.col("_cut.shard")).sortWithinPartitions("_cut.shard", "_cut._k", "_cut.draw")
+    out = {text_col: F.col("_cut.text")} | ({length_col: F.length("_cut.text").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
+    return dealt.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 __all__ = ["mix", "mixed_documents", "permuted", "slots", "targets"]
