@@ -6,8 +6,9 @@
 3. The rest count how many of them hold each shingle. That count orders shingles, rarest first. A prefix that leaves
    room for l shared shingles must share l with any linked node's. Each node takes the l whose prefix costs least: shingles
    to look through, and candidates expected to reach l.
-4. Nodes are first compared to one node of a crowded prefix shingle. Whatever that links needs no comparison within; then
-   all candidate pairs across components are counted over their prefixes and verified on whole sets.
+   How long depends on both sizes, so a pair meets only where the prefixes for its own sizes do.
+4. Nodes are first compared, in rounds, to a central node of a crowded prefix shingle. What that links needs no comparison
+   within; then candidate pairs across components are counted over their prefixes and verified on whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tremor.llm.components import components
 
 MOST_MATCHES = 8
 VERIFY_COST = 4.0
+HEAD_ROUNDS = 2
 
 # ---------------------------------------------------------------- sets
 
@@ -123,23 +125,33 @@ def _spare(n: Column, percent: int) -> Column:
     return F.floor(n * (100 - percent) / 100).cast("long")
 
 
+def _overlap(na: Column, nb: Column, percent: int) -> Column:
+    """The least number of shingles that linked nodes of these sizes share."""
+    return F.ceil((na + nb) * percent / (100 + percent)).cast("long")
+
+
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """The index: (t, g, n, pos, matches, base), a node's shingles held by others, rarest first, up to its own prefix length.
+    """The index: (t, g, n, pos, own, matches), a node's shingles held by others, rarest first, up to its own prefix length.
 
-    base is the prefix length for one match, counted among shared shingles; with `matches` l it is base + l - 1.
+    own counts the shingles that no other node holds; they come first in the order. Linked nodes of sizes n and m that share
+    o shingles at least share l among the first n - o + l of the one and m - o + l of the other. A row is kept only if some
+    holder of its shingle may be small enough to make the prefix that long.
     """
     tok = sets.select("g", "n", F.explode("tokens").alias("t"))
-    freq = stage(tok.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "freq")
-    shared = tok.join(freq, "t")
+    freq = stage(tok.groupBy("t").agg(F.count("*").alias("df"), F.min("n").alias("least")).where("df > 1"), "freq")
     node = Window.partitionBy("g")
-    counted = shared.withColumn("base", _spare(F.col("n"), percent) + 1 - F.col("n") + F.count("*").over(node)).where("base > 0")
+    counted = tok.join(freq, "t").withColumn("own", F.col("n") - F.count("*").over(node)).where(F.col("own") <= _spare(F.col("n"), percent))
     order = node.orderBy("df", "t")
     placed = counted.withColumn("pos", F.row_number().over(order) - 1).withColumn("seen", F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    matches = F.col("pos") - F.col("base") + 2  # the l whose prefix ends here
-    cost = F.col("seen") + VERIFY_COST * (F.col("seen") - F.col("pos") - 1) / matches * F.log2(F.col("n") + 1)
-    best = F.min_by(F.when((matches >= 1) & (matches <= MOST_MATCHES), matches), F.when((matches >= 1) & (matches <= MOST_MATCHES), cost)).over(node)
-    chosen = placed.withColumn("matches", best).where("pos < base + matches - 1")
-    return chosen.select("t", "g", "n", F.col("pos").cast("int").alias("pos"), F.col("matches").cast("int").alias("matches"), F.col("base").cast("long").alias("base"), "df")
+    # Costs are those of meeting nodes of the same size: the l whose prefix ends here, its rows, and the pairs that reach l.
+    usual = F.col("n") - _overlap(F.col("n"), F.col("n"), percent)
+    ends = F.col("own") + F.col("pos") + 1 - usual
+    cost = F.col("seen") + VERIFY_COST * (F.col("seen") - F.col("pos") - 1) / ends * F.log2(F.col("n") + 1)
+    fits = (ends >= 1) & (ends <= MOST_MATCHES) & (F.col("own") <= usual)
+    best = F.coalesce(F.min_by(F.when(fits, ends), F.when(fits, cost)).over(node), F.lit(1))
+    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100).cast("long"))
+    chosen = placed.withColumn("matches", best).where(F.col("own") + F.col("pos") < F.col("n") - _overlap(F.col("n"), smallest, percent) + F.col("matches"))
+    return chosen.select("t", "g", "n", *(F.col(c).cast("int").alias(c) for c in ("pos", "own", "matches")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,27 +162,57 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def _close(x: Column, y: Column, percent: int) -> Column:
+    return F.least(x, y) * 100 >= percent * F.greatest(x, y)
+
+
+def starred(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b): every node with the head of its most crowded shingle that is still open.
+
+    The head is, of the holders outside the component that holds most, the one with the fewest shingles of its own for its
+    size: near copies differ least from it. One candidate a node, so a round never makes more pairs than there are nodes.
+    """
+    excess = F.col("own") - F.col("n") * (100 - percent) / (100 + percent)
+    heads = rows.groupBy("t").agg(F.min(F.struct(excess.alias("e"), "g", "n", "own", "comp")).alias("h"))
+    heads = rows.join(heads, "t").groupBy("t").agg(F.first("h").alias("h"), F.min(F.when(F.col("comp") != F.col("h.comp"), F.struct(excess.alias("e"), "g", "n", "own", "comp"))).alias("h2"))
+    met = rows.join(heads, "t").withColumn("to", F.when(F.col("comp") != F.col("h.comp"), F.col("h")).otherwise(F.col("h2")))
+    differ = F.col("n") + F.col("to.n") - 2 * _overlap(F.col("n"), F.col("to.n"), percent)
+    met = met.where(_close(F.col("n"), F.col("to.n"), percent) & (F.col("own") + F.col("to.own") <= differ))
+    one = met.groupBy("g").agg(F.max(F.struct("pos", F.col("to.g").alias("to"))).alias("x"))
+    return one.select(F.least("g", "x.to").alias("a"), F.greatest("g", "x.to").alias("b")).distinct()
+
+
+def crossing(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) between components: pairs that share as many prefix shingles as both their prefixes call for."""
+    side = lambda s: rows.select("t", *(F.col(c).alias(c[0] + s) for c in ("g", "n", "pos", "own", "matches", "comp")))
+    wanted = F.least("ma", "mb")
+    room = wanted - _overlap(F.col("na"), F.col("nb"), percent)
+    within = (F.col("oa") + F.col("pa") < F.col("na") + room) & (F.col("ob") + F.col("pb") < F.col("nb") + room)
+    met = side("a").join(side("b"), "t").where((F.col("ga") < F.col("gb")) & (F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb"), percent) & within)
+    counted = met.groupBy("ga", "gb").agg(F.count("*").alias("met"), F.min(wanted).alias("wanted")).where("met >= wanted")
+    return counted.select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+
+
+def _open(index: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Rows of the index with their node's component, of shingles that lie in more than one."""
+    tagged = index.withColumn("comp", F.col("g")) if known is None else index.join(known.withColumnRenamed("node", "g"), "g", "left").withColumn("comp", F.coalesce("comp", "g"))
+    mixed = tagged.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
+    return stage(tagged.join(mixed, "t", "left_semi"), "open")
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) node pairs whose components are those of all links; every link between other components is there."""
     index = stage(prefixes(sets, percent), "index")
-    close = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)
-    heads = stage(index.groupBy("t").agg(F.min(F.struct("g", "n")).alias("h")).select("t", F.col("h.g").alias("hg"), F.col("h.n").alias("hn")), "heads")
-    last = index.where(F.col("pos") == F.col("base") + F.col("matches") - 2)
-    stars = last.join(heads, "t").where((F.col("g") != F.col("hg")) & close(F.col("n"), F.col("hn"))).select(F.least("g", "hg").alias("a"), F.greatest("g", "hg").alias("b")).distinct()
-    first = stage(verified(stars, sets, percent), "links")
-    known = components(first)
-    tagged = stage(index.join(known.withColumnRenamed("node", "g"), "g", "left").withColumn("comp", F.coalesce("comp", "g")), "tagged")
-    mixed = tagged.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
-    open_rows = stage(tagged.join(stage(mixed, "mixed"), "t", "left_semi"), "open")
-    groups = stage(open_rows.select("t", "comp").distinct(), "groups")
-    across = groups.toDF("t", "ca").join(groups.toDF("t", "cb"), "t").where("ca < cb")
-    side = lambda s: open_rows.select("t", *(F.col(c).alias(c[0] + s if c != "comp" else f"c{s}") for c in ("g", "n", "pos", "matches", "base", "comp")))
-    pairs = across.join(side("a"), ["t", "ca"]).join(side("b"), ["t", "cb"]).where(close(F.col("na"), F.col("nb")))
-    wanted = F.least("ma", "mb")
-    within = (F.col("pa") < F.col("ba") + wanted - 1) & (F.col("pb") < F.col("bb") + wanted - 1)
-    met = pairs.groupBy("ga", "gb").agg(F.sum(within.cast("int")).alias("met"), F.min(wanted).alias("wanted")).where("met >= wanted")
-    second = verified(stage(met.select(F.col("ga").alias("a"), F.col("gb").alias("b")), "candidates"), sets, percent)
-    return first.union(second)
+    known, found, rows = None, None, _open(index, None)
+    for _ in range(HEAD_ROUNDS):
+        new = stage(verified(starred(rows, percent), sets, percent), "links")
+        if new.isEmpty():
+            break
+        found = new if found is None else found.union(new)
+        known = components(found)
+        rows = _open(index, known)
+    rest = verified(stage(crossing(rows, percent), "candidates"), sets, percent)
+    return rest if found is None else found.union(rest)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
