@@ -99,3 +99,67 @@ def test_one_long_document_meets_its_target(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SLOTS_A_SHARD", 64)  # many shards: pieces in each
     cut = [r.text for r in mixing.mixed_documents(df).collect() if r.doc_id == 1]
     assert len(cut) > len(mine) and sum(len(t.split()) for t in cut) == words
+
+
+def sources_of(spark, sizes, targets):
+    return spark.createDataFrame([(i, s, float(t)) for i, (s, t) in enumerate(zip(sizes, targets))], "_k long, source_size long, target double")
+
+
+def test_counts_by_shard_are_the_draw(spark, monkeypatch):
+    """Counts by shard vary as a multinomial's do, and they, not the targets, say how many slots a source has."""
+    monkeypatch.setattr(mixing, "SLOTS_A_SHARD", 256)
+    table = sources_of(spark, [40_000, 30_000, 10_000], [50_000, 20_000, 10_000])
+    free = mixing.slots(table, block=4, near=1.0).collect()
+    shards = {}
+    for r in free:
+        shards.setdefault(r.shard, [0, 0, 0])[r._k] += 1
+    full = [c for s, c in shards.items() if sum(c) == 256]
+    assert len(full) >= len(shards) - 1
+    p = [50 / 80, 20 / 80, 10 / 80]
+    chi = sum((c[k] - 256 * p[k]) ** 2 / (256 * p[k]) for c in full for k in range(3)) / (2 * len(full))
+    assert 0.6 < chi < 1.6
+    totals = [sum(c[k] for c in shards.values()) for k in range(3)]
+    assert totals != [12_500, 5_000, 2_500] and all(abs(t - 20_000 * q) < 5 * (20_000 * q) ** 0.5 for t, q in zip(totals, p))
+    for k, n in enumerate((10_000, 7_500, 2_500)):
+        assert sorted(r.draw for r in free if r._k == k) == list(range(totals[k]))
+        for turn in range(3):
+            blocks = [r.block for r in free if r._k == k and r.draw // n == turn]
+            assert len(set(blocks)) == len(blocks) and all(0 <= b < n for b in blocks)
+
+
+@pytest.mark.parametrize("near", [0.0, 0.002, 0.05])
+def test_slots_stay_near_targets(spark, monkeypatch, near):
+    monkeypatch.setattr(mixing, "SLOTS_A_SHARD", 32)
+    sizes, targets = [4000, 40, 900, 1, 7000], [6000.0, 120.0, 300.0, 3.0, 5518.0]
+    got = mixing.slots(sources_of(spark, sizes, targets), block=8, near=near).collect()
+    for k, (s, t) in enumerate(zip(sizes, targets)):
+        n = -(-s // 8)
+        want = min(3 * n, round(t * n / s))
+        mine = [r.draw for r in got if r._k == k]
+        assert sorted(mine) == list(range(len(mine))) and len(mine) <= 3 * n
+        assert want * (1 - near) <= len(mine) <= want * (1 + near)
+
+
+def test_taken_by_brute_force(spark):
+    """`taken` from the table of blocks: every document's words of every slot's block, counted one by one."""
+    df, rows = docs(spark, 120)
+    block = 16
+    got = mixing.mix(df, block=block).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    names = sorted({s for _, _, s, _ in rows if s is not None}) + [None]
+    sizes = df.select("source", mixing.word_count(F.col("text")).alias("size"))
+    blocks = {}
+    for r in mixing.slots(mixing.targets(sizes), block=block).collect():
+        blocks[r._k, r.block] = blocks.get((r._k, r.block), 0) + 1
+    for k, name in enumerate(names):
+        total = sum(words(t) for _, t, s, _ in rows if s == name)
+        ids = {d for d, _, s, _ in rows if s == name}
+        mine = sum(r.taken for r in got if r.doc_id in ids and r.source_size == total)
+        assert mine == sum(times * (min(total, (b + 1) * block) - b * block) for (q, b), times in blocks.items() if q == k)
+    # One document a source: it has all of the source's blocks.
+    alone = spark.createDataFrame([(i, "w " * m, chr(97 + i)) for i, m in enumerate((500, 37, 90))], "doc_id long, text string, source string")
+    table = mixing.targets(alone.select("source", mixing.word_count(F.col("text")).alias("size")))
+    want = {0: 0, 1: 0, 2: 0}
+    for r in mixing.slots(table, block=block).collect():
+        want[r._k] += min((500, 37, 90)[r._k], (r.block + 1) * block) - r.block * block
+    assert {r.doc_id: r.taken for r in mixing.mix(alone, block=block).collect()} == want

@@ -1,9 +1,9 @@
 """Operator 6, mixing sources to target weights, in DataFrame functions only.
 
-Every source is one stream of words, cut into blocks of fixed length. Its share of the mix is a number of slots; slots are
-dealt over output shards by a multinomial draw; a pseudorandom permutation of the source's block indices, a new one each
-time the source is used up, says which block a slot takes; documents and draws meet in a join by block index. The mix is
-the text of the drawn blocks, cut at the documents' ends, dealt by shard.
+Every source is one stream of words, cut into blocks of fixed length. Every output shard has a fixed number of slots, whose
+sources are a multinomial draw by the sources' targets; a pseudorandom permutation of the source's block indices, a new one
+each time the source is used up, says which block a slot takes; documents and draws meet in a join by block index. The mix
+is the text of the drawn blocks, cut at the documents' ends, dealt by shard.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ SLOTS_A_SHARD = 4096
 _SPACE = r"\x20\x09-\x0D"
 #: A word with the space after it, the first also with the space before it: all of them together are the text.
 _PART = rf"(?:^[{_SPACE}]+)?[^{_SPACE}]+[{_SPACE}]*"
-_RANGE = 4096  # slots that share a key when slots look up their source
+_RANGE = 4096  # parts of a range by which what lies in it is looked up
+_POINTS = 1 << 40
+#: How far from its target, as a share of it, the draw may leave a source.
+NEAR = 0.002
 
 
 def word_count(text: Column) -> Column:
@@ -63,23 +66,55 @@ def permuted(x: Column, n: Column, *key: Column | int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
 
 
-def slots(sources: DataFrame, *, block: int = BLOCK_WORDS, most: int = 3, seed: int = 6) -> DataFrame:
+def draws(sources: DataFrame, total: int, *, seed: int) -> DataFrame:
+    """(id, shard, _k) of `total` slots: each draws a source by its share, so that the counts of a shard are multinomial."""
+    order = Window.orderBy("_k")
+    upto = F.sum("_want").over(order)
+    cuts = sources.select("_k", F.floor((upto - F.col("_want")) / F.lit(float(total)) * _POINTS).cast("long").alias("_lo"), F.floor(upto / F.lit(float(total)) * _POINTS).cast("long").alias("_hi")).where("_lo < _hi")
+    ranges = cuts.withColumn("_g", F.explode(F.sequence(F.expr(f"_lo div {_POINTS // _RANGE}"), F.expr(f"(_hi - 1) div {_POINTS // _RANGE}"))))
+    each = sources.sparkSession.range(total).withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(_POINTS))).withColumn("_g", F.expr(f"_u div {_POINTS // _RANGE}"))
+    return each.join(broadcast_if_small(ranges, sources.count() + _RANGE), "_g").where("_u >= _lo and _u < _hi").select("id", F.expr(f"id div {SLOTS_A_SHARD}").alias("shard"), "_k")
+
+
+def slots(sources: DataFrame, *, block: int = BLOCK_WORDS, most: int = 3, seed: int = 6, near: float = NEAR) -> DataFrame:
     """The mix, one row a slot: output shard, source rank, draw number within the source and block index.
 
-    A source of n blocks and target t gets round(t * n / size) slots, at most `most` * n. Each goes to a shard of its own
-    draw, so the counts of a shard are multinomial given the totals, and the totals are as near their targets as blocks allow.
+    The slots of a shard draw their sources, so its counts are multinomial. The j-th slot of a source in a shard has as its
+    draw number j and the source's slots in earlier shards; a permutation of the source's block indices, a new one each time
+    the source is used up, says which block that is. A source of n blocks, size s and target t wants t * n / s slots; what
+    it drew beyond (1 + near) times that, or beyond `most` * n, goes to sources that drew less than (1 - near) times theirs.
     """
-    spark = sources.sparkSession
     n = F.ceil(F.col("source_size") / block).cast("long")
-    counted = sources.where("source_size > 0").select("_k", n.alias("_n"), F.least(F.round(F.col("target") * n / F.col("source_size")).cast("long"), most * n).alias("_slots"))
-    placed = stage(counted.withColumn("_hi", F.sum("_slots").over(Window.orderBy("_k"))).withColumn("_lo", F.col("_hi") - F.col("_slots")).where("_slots > 0"), "slots")
-    total = placed.agg(F.max("_hi")).first()[0] or 0
-    shards = max(1, -(-total // SLOTS_A_SHARD))
-    ranges = placed.withColumn("_g", F.explode(F.sequence(F.expr(f"_lo div {_RANGE}"), F.expr(f"(_hi - 1) div {_RANGE}"))))
-    each = spark.range(total).withColumn("_g", F.expr(f"id div {_RANGE}"))
-    found = each.join(ranges, "_g").where("id >= _lo and id < _hi").withColumn("draw", F.col("id") - F.col("_lo"))
+    wanted = sources.where("source_size > 0").select("_k", n.alias("_n"), F.least(F.round(F.col("target") * n / F.col("source_size")).cast("long"), most * n).alias("_want")).where("_want > 0")
+    wanted = stage(wanted, "wanted")
+    total = wanted.agg(F.sum("_want")).first()[0] or 0
+    few = lambda df: broadcast_if_small(df, wanted.count())
+    drawn = draws(wanted, total, seed=seed) if total else wanted.select(F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("shard"), "_k")
+    # Numbers within a source: counts by shard, summed over groups of shards and then within them, so no window is long.
+    by_shard = stage(drawn.groupBy("shard", "_k").agg(F.count("*").alias("_c")).withColumn("_super", F.expr("shard div 1024")), "shards")
+    groups = by_shard.groupBy("_k", "_super").agg(F.sum("_c").alias("_s"))
+    before = lambda value, *key: F.coalesce(F.sum(value).over(Window.partitionBy(*key[:-1]).orderBy(key[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = groups.select("_k", "_super", before("_s", "_k", "_super").alias("_groups"))
+    firsts = by_shard.select("shard", "_k", "_super", before("_c", "_k", "_super", "shard").alias("_shards")).join(earlier, ["_k", "_super"]).select("shard", "_k", (F.col("_groups") + F.col("_shards")).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("shard", "_k").orderBy("id")) - 1
+    numbered = drawn.withColumn("_j", within).join(firsts, ["shard", "_k"]).select("id", "shard", "_k", (F.col("_first") + F.col("_j")).alias("draw"))
+    # What sources drew too much and too little, as ranges of the slots that change hands.
+    counts = wanted.join(by_shard.groupBy("_k").agg(F.sum("_c").alias("_got")), "_k", "left").withColumn("_got", F.coalesce("_got", F.lit(0)))
+    bounded = counts.withColumn("_most", F.least(F.floor(F.col("_want") * (1 + near)).cast("long"), F.col("_n") * most)).withColumn("_least", F.ceil(F.col("_want") * (1 - near)).cast("long"))
+    moved = bounded.withColumn("_over", F.greatest(F.col("_got") - F.col("_most"), F.lit(0))).withColumn("_under", F.greatest(F.col("_least") - F.col("_got"), F.lit(0)))
+    order = Window.orderBy("_k")
+    moved = stage(moved.withColumn("_to", F.sum("_under").over(order)).withColumn("_from", F.sum("_over").over(order) - F.col("_over")), "moved")
+    spare, lacking = (moved.agg(F.sum("_over"), F.sum("_under")).first() or (0, 0)) if total else (0, 0)
+    kept = numbered.join(few(moved.select("_k", "_most", "_from")), "_k")
+    loose = kept.where("draw >= _most").select("shard", (F.col("_from") + F.col("draw") - F.col("_most")).alias("_i"))
+    if lacking > spare:  # more shards at the end
+        loose = loose.union(wanted.sparkSession.range(spare, lacking).select((F.lit(total + SLOTS_A_SHARD - 1) + F.col("id") - spare).alias("_s"), "id").select(F.expr(f"_s div {SLOTS_A_SHARD}"), "id"))
+    takers = moved.where("_under > 0").select("_k", "_got", (F.col("_to") - F.col("_under")).alias("_lo"), F.col("_to").alias("_hi"))
+    takers = takers.withColumn("_g", F.explode(F.sequence(F.expr(f"_lo div {_RANGE}"), F.expr(f"(_hi - 1) div {_RANGE}"))))
+    topped = loose.withColumn("_g", F.expr(f"_i div {_RANGE}")).join(few(takers), "_g").where("_i >= _lo and _i < _hi").select("shard", "_k", (F.col("_got") + F.col("_i") - F.col("_lo")).alias("draw"))
+    mixed = kept.where("draw < _most").select("shard", "_k", "draw").union(topped).join(few(wanted.select("_k", "_n")), "_k")
     index = permuted(F.col("draw") % F.col("_n"), F.col("_n"), F.col("_k"), F.expr("draw div _n"), seed)
-    return found.select(F.pmod(F.xxhash64(F.lit(seed), "_k", "draw"), F.lit(shards)).alias("shard"), "_k", "draw", index.alias("block"))
+    return mixed.select("shard", "_k", "draw", index.alias("block"))
 
 
 def _drawn(sizes: DataFrame, *, weights: tuple[int, ...], most: int, block: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
