@@ -65,3 +65,53 @@ def test_redacted_and_empty(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: ('é [SECRET]" x', 13), 2: (None, 0), 3: ("clean", 5), 4: ("[SECRET]!", 9)}
     assert secretscan.secrets(df.limit(0)).collect() == [] and secretscan.redacted(df.limit(0)).collect() == []
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(2)
+    parts = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(20, 30))) + rng.choice([" ", " é ", "\n"]) for _ in range(8000)]
+    text = "".join(parts)
+    got = secretscan.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = base(text)
+    assert got.n_hex == len(want) > 4000
+    assert got.base_sha256 == hashlib.sha256(",".join(f"{secretscan.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+
+
+def test_running_sums(spark):
+    rng = random.Random(3)
+    rows = [([rng.randint(0, 9) for _ in range(n)],) for n in (1, 2, 255, 256, 257, 512, 1000)]
+    for (widths,), got in zip(rows, spark.createDataFrame(rows, "w array<int>").coalesce(1).select(secretscan._sums(F.col("w"))).collect()):
+        assert got[0] == [sum(widths[: i + 1]) for i in range(len(widths))]
+
+
+def brute_battery(token, alphabet):
+    """The three tests by their textbook forms, with exact normal tails."""
+    from math import erfc, sqrt
+
+    n, k = len(token), len(alphabet)
+    codes = [alphabet.index(c) for c in token]
+    chi = sum((codes.count(c) - n / k) ** 2 / (n / k) for c in range(k))
+    df = k - 1
+    z = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df))
+    tail = lambda z: erfc(z / sqrt(2)) / 2
+    high = [c >= k / 2 for c in codes]
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = (k - 1) / 2
+    products = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:]))
+    p_runs = 2 * tail(abs(runs - (n + 1) / 2) / sqrt((n - 1) / 4))
+    p_serial = 2 * tail(abs(products) / ((k * k - 1) / 12) / sqrt(n - 1))
+    return min(1.0, 3 * min(tail(z), p_runs, p_serial))
+
+
+def test_battery_matches_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for name, alphabet in secretscan.ALPHABETS.items():
+        for n in (20, 33, 80):
+            skewed = alphabet + alphabet[:3] * rng.randint(0, 9)
+            rows.append((name, "".join(rng.choice(skewed) for _ in range(n))))
+            rows.append((name, (alphabet * 3)[:n]))
+    for name, alphabet in secretscan.ALPHABETS.items():
+        mine = [t for x, t in rows if x == name]
+        got = [r[0] for r in spark.createDataFrame([(t,) for t in mine], "t string").coalesce(1).select(secretscan._battery(F.col("t"), alphabet)).collect()]
+        assert all(abs(g - brute_battery(t, alphabet)) < 0.002 for g, t in zip(got, mine)), name

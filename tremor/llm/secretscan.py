@@ -22,7 +22,9 @@ LEAST_VALUE = 6
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 FALSE_DISCOVERIES = 0.1
 BINS = 50
-LEAST_CLASS = 50
+#: What the counts of a class a step longer or shorter weigh in a class's own.
+NEXT_CLASS = 0.5
+_BLOCK = 256
 
 # Alphabets in the order of their codes.
 DIGITS = "0123456789"
@@ -38,12 +40,23 @@ def _lengths(parts: Column) -> Column:
     return F.transform(parts, lambda x: F.length(x))
 
 
+def _sums(widths: Column) -> Column:
+    """Running sums, in blocks: the work grows with the length to the power of 1.5 at most."""
+    empty = F.array().cast("array<int>")
+    add = lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + x))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(widths) - 1) / _BLOCK).cast("int")), lambda i: F.slice(widths, (i * _BLOCK + 1).cast("int"), _BLOCK))
+    within = F.transform(blocks, lambda b: F.aggregate(b, empty, add))
+    upto = lambda w: F.aggregate(F.transform(w, lambda s: F.element_at(s, -1)), empty, add)
+    # A lambda over an array of one keeps the running sums from being made again for each block.
+    shifted = F.transform(F.array(within), lambda w: F.zip_with(w, upto(w), lambda s, last: F.transform(s, lambda x: x + last - F.element_at(s, -1))))
+    return F.flatten(F.element_at(shifted, 1))
+
+
 def _placed(between: Column, matched: Column) -> Column:
     """Structs (start, end) of the matches, from the lengths between them and their own."""
-    ends = lambda i: F.aggregate(F.slice(F.zip_with(between, matched, lambda a, b: a + F.coalesce(b, F.lit(0))), 1, i), F.lit(0), lambda s, x: s + x)
-    return F.when(F.size(matched) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(matched)), lambda i: F.struct((ends(i) - F.element_at(matched, i)).alias("start"), ends(i).alias("end")))
-    )
+    ends = _sums(F.zip_with(F.slice(between, 1, F.size(matched)), matched, lambda a, b: a + b))
+    spans = F.zip_with(ends, matched, lambda e, n: F.struct((e - n).alias("start"), e.alias("end")))
+    return F.when(F.size(matched) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(spans)
 
 
 def _spans(text: Column, pattern: str, kind: int, value: int | None = None) -> Column:
@@ -118,16 +131,16 @@ def thresholds(found: DataFrame, q: float = FALSE_DISCOVERIES) -> dict[int, floa
     """By class of length, the least p-value at which the share of non-random among accepted candidates is q at most.
 
     Random strings have uniform p-values, others p-values near 0. So twice the number above 0.5 estimates the random ones,
-    and what is accepted beyond their part is false. Counts are of all candidates of the corpus, by class and p in 50 bins;
-    a class of fewer than 50 candidates takes the threshold of all classes together. At most 21 rows reach the driver.
+    and what is accepted beyond their part is false. Counts are of all candidates of the corpus, by class and p in 50 bins.
+    Each class adds those of the others, halved with every step between them, so rare lengths lean on their neighbours. At
+    most 21 classes times 50 bins reach the driver.
     """
     rows = found.select(F.explode("_cand").alias("c")).select(F.col("c.class").alias("class"), F.least(F.lit(BINS - 1), F.floor(F.col("c.p") * BINS)).cast("int").alias("bin"))
     table: dict[int, list[int]] = {}
     for r in rows.groupBy("class", "bin").agg(F.count("*").alias("n")).collect():
         table.setdefault(r["class"], [0] * BINS)[r["bin"]] = r["n"]
-    table[-1] = [sum(x) for x in zip(*table.values())] if table else [0] * BINS
 
-    def cut(n: list[int]) -> float:
+    def cut(n: list[float]) -> float:
         truly = min(sum(n), 2 * sum(n[BINS // 2 :]))
         for b in range(BINS // 2):
             accepted = sum(n[b:])
@@ -135,7 +148,7 @@ def thresholds(found: DataFrame, q: float = FALSE_DISCOVERIES) -> dict[int, floa
                 return max(b / BINS, 0.5 / BINS)
         return 0.5
 
-    return {k: cut(n if sum(n) >= LEAST_CLASS else table[-1]) for k, n in table.items()}
+    return {k: cut([sum(NEXT_CLASS ** abs(k - j) * table[j][b] for j in sorted(table)) for b in range(BINS)]) for k in table}
 
 
 def _all_spans(base: Column, cand: Column, limits: dict[int, float]) -> Column:
@@ -166,9 +179,13 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every span replaced by a mark, overlapping spans by one, and the length column set anew."""
-    limits = thresholds(docs.select(candidates(F.col(text_col)).alias("_cand")))
-    spans = docs.withColumn("_spans", _all_spans(base_spans(F.col(text_col)), candidates(F.col(text_col)), limits))
+    """The documents with every span replaced by a mark, overlapping spans by one, and the length column set anew.
+
+    Texts are scanned once, and written with what was found. Null texts stay null, repeated rows are rows of their own, and
+    an empty table gives an empty one.
+    """
+    found = stage(docs.withColumn("_base", base_spans(F.col(text_col))).withColumn("_cand", candidates(F.col(text_col))), "scanned")
+    spans = found.withColumn("_spans", _all_spans(F.col("_base"), F.col("_cand"), thresholds(found)))
     text = F.col(text_col)
     done = F.aggregate(
         "_spans",
