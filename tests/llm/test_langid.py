@@ -58,3 +58,33 @@ def test_no_labels_and_empty(spark):
     df, rows = corpus(spark, 20)
     assert {r.lang_pred for r in langid.languages(df.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
     assert langid.languages(df.limit(0)).collect() == []
+
+
+def test_labelled_texts_without_letters(spark):
+    rows = [(i, "12 34 !", "fr" if i % 2 else "de", 1.0) for i in range(40)] + [(100, "some words", None, 1.0), (101, "", None, 1.0)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")).collect()}
+    assert got[100] == ("de", 0.5) and got[101] == ("und", 0.0) and got[0] == ("und", 0.0)
+
+
+def ranks(counts):
+    code = lambda g: int("".join(f"{1 if c == '_' else ord(c):021b}" for c in g), 2)
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[: langid.PROFILE]]
+
+
+def test_predictions_match_brute_force(spark):
+    """Out-of-place distances over strings, from profiles counted over strings: the same language and score for each text."""
+    df, rows = corpus(spark, 150)
+    got = langid.languages(df).collect()
+    import zlib
+
+    teach = {}
+    for d, t, lang, _ in rows:
+        if lang is not None and t is not None and (d is None or zlib.crc32(str(d).encode()) % 4 != 2):
+            teach.setdefault(lang, Counter()).update(brute(t))
+    profiles = {lang: {g: i for i, g in enumerate(ranks(c))} for lang, c in teach.items()}
+    want = []
+    for d, t, _, _ in rows:
+        own = ranks(brute(t))
+        far = sorted((sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(own)), lang) for lang, p in profiles.items())
+        want.append((str(d), far[0][1], round(far[1][0] / (far[0][0] + far[1][0]), 9)) if own else (str(d), "und", 0.0))
+    assert sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in got) == sorted(want)

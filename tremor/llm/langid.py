@@ -65,9 +65,10 @@ class Profiles:
         own = ranked(*grams(text))
         if not len(own) or not self.names:
             return "und", 0.0
+        absent = len(self.keys)  # without any n-gram learnt, all are absent and the first language by name wins
         at = np.searchsorted(self.keys, own)
-        known = self.keys[np.minimum(at, len(self.keys) - 1)] == own
-        rank = self.rank[np.where(known, at, len(self.keys))]
+        known = self.keys[np.minimum(at, absent - 1)] == own if absent else np.zeros(len(own), bool)
+        rank = self.rank[np.where(known, at, absent)]
         far = np.where(rank < 0, PROFILE, np.abs(rank - np.arange(len(own))[:, None]))
         d = far.sum(axis=0)
         order = np.argsort(d, kind="stable")
@@ -131,7 +132,8 @@ def identify(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", tex
 def languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows that are not held out, then predict every whole text.
 
-    Without any labelled text every prediction is `und`. Repeated rows are predicted each; a null id is not held out; an
+    Without any labelled text every prediction is `und`; where the labelled texts have no letters, the first language by name
+    is predicted for a text that has some. Repeated rows are predicted each; a null id is not held out; an
     empty table gives an empty result.
     """
     profiles = fit(docs.where(train_part(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col)
