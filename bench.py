@@ -12,7 +12,7 @@ HEADLINE = ["scan_time_mag", "missed_events_topk", "circle_query", "nearest_boun
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = session(f"local[{cpus}]", **{"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    spark = session(f"local[{cpus}]", **{"spark.driver.memory": "8g", "spark.sql.shuffle.partitions": cpus, "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/events.parquet").count()  # starts the session
     took = {}

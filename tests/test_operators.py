@@ -64,7 +64,7 @@ def test_nearest_line_both_ways(spark):
     lines = spark.createDataFrame([(i, [rng.uniform(-180, 180), rng.uniform(-60, 60), rng.uniform(-180, 180), rng.uniform(-60, 60)]) for i in range(20)] + [(20, [5.0, 5.0]), (21, [])], "line int, p array<double>")
     segs = match.segments(lines)
     assert segs.count() == 21
-    a, b = ({r.event_id: round(r.distance_km, 6) for r in match.nearest_line(pts, segs, max_segments=m).collect()} for m in (10**6, 0))
+    a, b = ({r.event_id: round(r.distance_km, 6) for r in match.nearest_line(pts, segs, first_degrees=m).collect()} for m in (180.0, 2.0))
     assert a == b and len(a) == 60
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tremor.constants import DAY_MS, KM_PER_DEGREE
 from tremor.functions import geo
+from tremor.operators.spacetime import near_pairs
 from tremor.operators.tables import written
 
 
@@ -19,28 +20,42 @@ def gk_window_days(magnitude: Column) -> Column:
     return F.when(magnitude >= 6.5, F.pow(F.lit(10.0), 0.032 * magnitude + 2.7389)).otherwise(F.pow(F.lit(10.0), 0.5409 * magnitude - 0.547))
 
 
-def edges(events: DataFrame, cell_deg: float = 2.0) -> DataFrame:
+#: Magnitudes up to which sources are paired in the same cells; windows and radii grow with them.
+CLASSES = (4.0, 5.0, 5.5, 6.0, 6.5, 7.5, 10.0)
+
+
+def class_of(magnitude: Column) -> Column:
+    return F.least(F.lit(len(CLASSES) - 1), sum((magnitude > top).cast("int") for top in CLASSES))
+
+
+def reaches() -> list[tuple[float, int]]:
+    """The largest radius and longest window of each class. The window is not continuous at 6.5, so both sides count."""
+    radius, window = (lambda m: 10 ** (0.1238 * m + 0.983)), (lambda m: 10 ** (0.032 * m + 2.7389) if m >= 6.5 else 10 ** (0.5409 * m - 0.547))
+    return [(radius(m) * 1.001, int(max(window(m), window(min(m, 6.4999)), 1.0) * DAY_MS) + 1) for m in CLASSES]
+
+
+def by_class(sources: DataFrame, targets: DataFrame, magnitude: str, lat: str, lon: str, ms: str, near: Column, least: str | None = None) -> DataFrame:
+    """Sources with the targets in their own window and radius that meet `near`.
+
+    Small events, which are most, have small cells and short slots and meet few others. `least` names the targets' magnitude
+    where targets are never larger than their source.
+    """
+    first = None if least is None else class_of(F.col(least))
+    return near_pairs(sources.where(F.col(magnitude).isNotNull()), targets if least is None else targets.where(F.col(least).isNotNull()), lat, lon, ms, reaches(), near, class_of(F.col(magnitude)), first)
+
+
+def edges(events: DataFrame) -> DataFrame:
     """(src, dst): dst lies within src's window and radius and comes later in order (magnitude descending, time, id).
 
-    Events meet in cells of about cell_deg degrees (more than the largest radius): latitude bands, cut into as many cells as
-    fit at the poleward edge of the next band, so that the cells next to an event's own hold all that is near. Longitude wraps.
+    Magnitudes above 10 do not occur; radii and windows of the last class are those of magnitude 10.
     """
-    bands = int(180 // cell_deg) + 1
-    lat_band = lambda lat: F.floor((lat + 90) / cell_deg).cast("long")
-    edge = lambda b: F.least(F.lit(90.0), F.greatest(F.abs((b - 1) * cell_deg - 90), F.abs((b + 2) * cell_deg - 90)))
-    count = lambda b: F.greatest(F.lit(1), F.floor(360 / cell_deg * F.cos(F.radians(edge(b))))).cast("long")
-    at = lambda lon, n: F.least(n - 1, F.floor((lon + 180) / 360 * n)).cast("long")
     e = events.select("event_id", "time_ms", "magnitude", "latitude", "longitude")
     src = e.select(*(F.col(c).alias(f"s_{c}") for c in e.columns))
-    src = src.withColumn("band", F.explode(F.array(*[lat_band(F.col("s_latitude")) + k for k in (-1, 0, 1)]))).where(f"band between 0 and {bands}")
-    n = count(F.col("band"))
-    src = src.withColumn("cell", F.explode(F.array_distinct(F.array(*[F.pmod(at(F.col("s_longitude"), n) + k, n) for k in (-1, 0, 1)]))))
-    dst = e.withColumn("band", lat_band(F.col("latitude"))).withColumn("cell", at(F.col("longitude"), count(F.col("band"))))
     gap = F.col("time_ms") - F.col("s_time_ms")
-    later = (F.col("s_magnitude") > F.col("magnitude")) | ((F.col("s_magnitude") == F.col("magnitude")) & (gap > 0))
+    later = (F.col("s_magnitude") > F.col("magnitude")) | (F.col("s_magnitude") == F.col("magnitude"))
     near = (gap > 0) & later & (gap <= gk_window_days(F.col("s_magnitude")) * DAY_MS) & (F.abs(F.col("s_latitude") - F.col("latitude")) * KM_PER_DEGREE * 0.99 <= gk_radius_km(F.col("s_magnitude")))
-    pairs = src.join(dst, ["band", "cell"]).where(near).where(geo.haversine_km("s_latitude", "s_longitude", "latitude", "longitude") <= gk_radius_km(F.col("s_magnitude")))
-    return pairs.select(F.col("s_event_id").alias("src"), F.col("event_id").alias("dst"))
+    near = near & (geo.haversine_km("s_latitude", "s_longitude", "latitude", "longitude") <= gk_radius_km(F.col("s_magnitude")))
+    return by_class(src, e, "s_magnitude", "s_latitude", "s_longitude", "s_time_ms", near, "magnitude").select(F.col("s_event_id").alias("src"), F.col("event_id").alias("dst"))
 
 
 def independent_ids(events: DataFrame) -> DataFrame:

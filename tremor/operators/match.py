@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tremor import constants as K
 from tremor.functions import geo
+from tremor.operators import spacetime
 from tremor.operators.rangejoin import interval_join
+from tremor.operators.tables import written
 
 
 def _as(df: DataFrame, prefix: str) -> DataFrame:
@@ -52,30 +54,41 @@ def segments(lines: DataFrame) -> DataFrame:
     return some.select("line", "seq", at(1).alias("ax"), at(2).alias("ay"), at(3).alias("bx"), at(4).alias("by"))
 
 
-def nearest_line(points: DataFrame, segs: DataFrame, key: str = "event_id", max_segments: int = 1_000_000) -> DataFrame:
+def nearest_line(points: DataFrame, segs: DataFrame, key: str = "event_id", first_degrees: float = 3.0) -> DataFrame:
     """The nearest line of each point; the first line wins ties.
 
-    The polylines are reference data: their number is checked, then they are broadcast and each point keeps the least of its
-    distances in a partial aggregate. Beyond the bound, points and segments meet by latitude band, nearer bands first.
+    Points meet the segments that may be within some degrees, by cells of that size; a point whose nearest is closer than that
+    is done, the others try cells four times as large. A segment is in the cells that its box, widened by a cell, touches.
     """
-    n = segs.count()
     d = geo.segment_km("latitude", "longitude", "ax", "ay", "bx", "by")
     best = F.min(F.struct(d.alias("km"), F.col("line").alias("line")))
-    if n <= max_segments:
-        return points.join(F.broadcast(segs)).groupBy(key).agg(best.alias("b")).select(key, F.col("b.line").alias("line"), F.col("b.km").alias("distance_km"))
-    left, done, reach = points, None, 1
+    left, done, degrees = points.select(key, "latitude", "longitude"), None, first_degrees
+    step = F.pmod(F.col("bx") - F.col("ax") + 180, F.lit(360.0)) - 180  # the short way round
+    boxed = segs.withColumn("west", F.least("ax", F.col("ax") + step)).withColumn("east", F.greatest("ax", F.col("ax") + step))
+    # Seen from the other side of the globe the ends lie to the left and to the right, and the plane's segment runs by the point.
+    opposite = boxed.where("ax <> bx").withColumns({"west": F.col("west") + 180, "east": F.col("east") + 180})
+    boxed = written(boxed.unionByName(opposite), "segments")
     while True:
-        cut = segs.withColumn("cell", F.explode(F.sequence(F.floor(F.least("ay", "by")) - reach, F.floor(F.greatest("ay", "by")) + reach)))
-        got = left.withColumn("cell", F.floor("latitude")).join(cut, "cell").groupBy(key).agg(best.alias("b")).select(key, F.col("b.line").alias("line"), F.col("b.km").alias("distance_km"))
-        sure = got if reach >= 180 else got.where(F.col("distance_km") <= reach * K.KM_PER_DEGREE)
+        last = degrees >= 180
+        deg = F.lit(min(degrees, 180.0))
+        cut = boxed.withColumn("band_", F.explode(F.sequence(spacetime.band(F.least("ay", "by"), deg) - 1, spacetime.band(F.greatest("ay", "by"), deg) + 1)))
+        n = F.lit(1).cast("long") if last else spacetime.cells_in(F.col("band_"), deg)
+        low, high = (F.floor((F.col(c) + 180) / 360 * n).cast("long") + k for c, k in (("west", -1), ("east", 1)))
+        cut = cut.withColumn("cell_", F.explode(F.array_distinct(F.transform(F.sequence(low, F.least(high, low + n - 1)), lambda c: F.pmod(c, n)))))
+        own = left.withColumn("band_", spacetime.band(F.col("latitude"), deg))
+        own = own.withColumn("cell_", spacetime.cell(F.col("longitude"), F.lit(1).cast("long") if last else spacetime.cells_in(F.col("band_"), deg)))
+        got = own.join(cut, ["band_", "cell_"]).groupBy(key).agg(best.alias("b")).select(key, F.col("b.line").alias("line"), F.col("b.km").alias("distance_km"))
+        sure = got if last else written(got.where(F.col("distance_km") <= degrees * 110.0), "nearest")
         done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure, key, "left_anti")
-        if reach >= 180 or left.isEmpty():
+        if last:
             return done
-        reach *= 4
+        left = written(left.join(sure, key, "left_anti"), "left")
+        if left.isEmpty():
+            return done
+        degrees *= 4
 
 
 def breakdown(points: DataFrame, segs: DataFrame, lines: DataFrame) -> DataFrame:
     """Events by nearest boundary pair, the most first; lines: line, pair, cls."""
-    near = nearest_line(points, segs).join(F.broadcast(lines.select("line", "pair", "cls")), "line")
+    near = nearest_line(points, segs).join(lines.select("line", "pair", "cls"), "line")
     return near.groupBy("pair").agg(F.count("*").alias("n"), F.min_by("cls", "line").alias("cls")).orderBy(F.desc("n"), "pair")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremor.constants import DAY_MS
+from tremor.constants import HOUR_MS
 
 
 def bucket(t: Column, width: int) -> Column:
@@ -22,21 +22,32 @@ def interval_join(left: DataFrame, right: DataFrame, low: Column, high: Column,
     return keyed.join(other, on, how).drop("_lo", "_hi", "_bucket", "_bucket_r")
 
 
-def counts_before(queries: DataFrame, points: DataFrame, at: str, point: str, name: str, inclusive: bool, width: int = DAY_MS) -> DataFrame:
+def counts_before(queries: DataFrame, points: DataFrame, at: str, point: str, name: str, inclusive: bool, width: int = HOUR_MS) -> DataFrame:
     """queries with the number of points before (or at) column `at`.
 
-    Points are counted by day, the few day counts are summed up in order, and only the points of the query's own day are
-    looked at: nothing is sorted as a whole.
+    Points are first counted by instant, so what is ordered within a slot of `width` is its distinct instants at most; counts
+    of slots are summed up within groups of 1024 slots, and those of groups over all, a number that time bounds, not the data.
     """
-    days = points.groupBy(bucket(F.col(point), width).alias("_day")).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(point)).alias("_points"))
-    upto = days.withColumn("_before", F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)))
-    spans = upto.select("_day", F.coalesce(F.lead("_day").over(Window.orderBy("_day")), F.lit(1 << 40)).alias("_next"), F.coalesce("_before", F.lit(0)).alias("_before"), "_n", "_points")
-    wanted = queries.select(bucket(F.col(at), width).alias("_qday")).distinct()
-    # The day of the last points at or before each query's day.
-    marks = wanted.select(F.col("_qday").alias("_d"), F.lit(1).alias("_q")).unionByName(spans.select(F.col("_day").alias("_d"), F.lit(0).alias("_q")))
-    last = marks.withColumn("_at", F.last(F.when(F.col("_q") == 0, F.col("_d")), ignorenulls=True).over(Window.orderBy("_d", "_q"))).where("_q = 1")
-    found = last.join(spans, F.col("_at") == F.col("_day"), "left").select("_d", F.coalesce("_before", F.lit(0)).alias("_before"), F.coalesce("_n", F.lit(0)).alias("_n"), "_points", (F.col("_at") == F.col("_d")).alias("_same"))
-    joined = queries.withColumn("_qday", bucket(F.col(at), width)).join(found, F.col("_qday") == F.col("_d"))
-    test = (lambda p: p <= F.col(at)) if inclusive else (lambda p: p < F.col(at))
-    own = F.when(F.col("_same"), F.size(F.filter("_points", test))).otherwise(F.col("_n"))
-    return joined.withColumn(name, (F.col("_before") + F.coalesce(own, F.lit(0))).cast("long")).select(*queries.columns, name)
+    order = F.lit(0 if inclusive else 2)  # points at the same instant come before the query or after it
+    instants = points.groupBy(F.col(point).cast("long").alias("_t")).agg(F.count("*").alias("_n")).where("_t is not null")
+    marks = instants.select("_t", "_n", order.alias("_o")).unionByName(queries.select(F.col(at).cast("long").alias("_t"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_o")).where("_t is not null").distinct())
+    marks = marks.withColumn("_slot", bucket(F.col("_t"), width)).withColumn("_group", F.floor(F.col("_slot") / 1024).cast("long"))
+    earlier = lambda w: F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = marks.groupBy("_group", "_slot").agg(F.sum("_n").alias("_s"))
+    groups = slots.groupBy("_group").agg(F.sum("_s").alias("_s")).select("_group", earlier(Window.orderBy("_group")).alias("_groups"))
+    before = slots.select("_group", "_slot", earlier(Window.partitionBy("_group").orderBy("_slot")).alias("_slots")).join(groups, "_group").select("_slot", (F.col("_groups") + F.col("_slots")).alias("_before"))
+    within = F.sum("_n").over(Window.partitionBy("_slot").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = marks.withColumn("_within", within).where("_o = 1").join(before, "_slot").select("_t", (F.col("_before") + F.col("_within")).alias(name))
+    return queries.join(found, F.col(at) == F.col("_t"), "left").select(*queries.columns, F.coalesce(name, F.lit(0)).cast("long").alias(name))
+
+
+def hourly_counts(points: DataFrame, point: str, start_ms: int, first: int, last: int) -> DataFrame:
+    """(hour, before, at): for every hour of [first, last] from start_ms, the points before its start, and those at it."""
+    hour, exact = F.floor((F.col(point) - start_ms) / HOUR_MS).cast("long"), ((F.col(point) - start_ms) % HOUR_MS == 0).cast("int")
+    n = points.groupBy(F.least(F.greatest(hour, F.lit(first - 1)), F.lit(last)).alias("hour")).agg(F.count("*").alias("_n"), F.sum(exact).alias("_at"))
+    early = F.col("hour") < first
+    every = points.sparkSession.range(first - 1, last + 1).select(F.col("id").alias("hour")).join(n, "hour", "left").select("hour", F.coalesce("_n", F.lit(0)).alias("_n"), F.when(early, F.lit(0)).otherwise(F.coalesce("_at", F.lit(0))).alias("at"), F.floor(F.col("hour") / 1024).alias("_group"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = every.groupBy("_group").agg(F.sum("_n").alias("_s")).select("_group", earlier("_s", Window.orderBy("_group")).alias("_groups"))
+    found = every.withColumn("_hours", earlier("_n", Window.partitionBy("_group").orderBy("hour"))).join(groups, "_group")
+    return found.where(~early).select("hour", (F.col("_groups") + F.col("_hours")).alias("before"), "at")

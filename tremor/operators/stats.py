@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tremor import constants as K
 from tremor.functions import geo
-from tremor.operators.rangejoin import counts_before, interval_join
+from tremor.operators.rangejoin import counts_before, hourly_counts, interval_join
 from tremor.operators.tables import written
 
 
@@ -39,16 +39,60 @@ def hour_table(hours: DataFrame, targets: DataFrame, a_hours: int, b_hours: int,
     return lag_counts(rated, targets, a_hours, b_hours).withColumn("expected", F.col("rate") * (b_hours - a_hours))
 
 
+def hour_tables(hours: DataFrame, targets: DataFrame, lags: tuple[tuple[int, int], ...], start_ms: int, end_ms: int, half_ms: int) -> dict[tuple[int, int], DataFrame]:
+    """hour_table for each lag, for a pool of whole hours (idx, time_ms) from start_ms and a half width of whole hours.
+
+    Targets are counted by hour once; rates and all lags are differences of those counts. Tables grow with the span alone.
+    """
+    if half_ms % K.HOUR_MS:
+        return {lag: written(hour_table(hours, targets, *lag, start_ms, end_ms, half_ms), "hours") for lag in lags}
+    half, last = half_ms // K.HOUR_MS, -(-(end_ms - start_ms) // K.HOUR_MS)
+    ends = [x for lag in lags for x in lag]
+    counts = written(hourly_counts(targets, "time_ms", start_ms, min([0, *ends]), last + max([0, *ends]) + 1), "counts")
+    inside = written(hourly_counts(targets.where(F.col("time_ms").between(start_ms, end_ms)), "time_ms", start_ms, 0, last + 1), "inside")
+    pool = hours.select("idx", "time_ms")
+    low, high = F.greatest(F.col("idx") - half, F.lit(0)), F.least(F.col("idx") + half, F.lit(last))
+    under = inside.select(F.col("hour").alias("_l"), F.col("before").alias("_under"))
+    upto = inside.select(F.col("hour").alias("_h"), (F.col("before") + F.col("at")).alias("_upto"), F.col("before").alias("_all"))
+    rated = pool.join(under, low == F.col("_l")).join(upto, high == F.col("_h"))
+    first_ms, last_ms = F.greatest(F.col("time_ms") - half_ms, F.lit(start_ms)), F.least(F.col("time_ms") + half_ms, F.lit(end_ms))
+    span = (last_ms - first_ms) / K.HOUR_MS
+    # A window that the end of the span cuts within an hour ends there: all that is inside counts.
+    within = F.when(F.col("time_ms") + half_ms > end_ms, F.greatest("_upto", "_all")).otherwise(F.col("_upto"))
+    rated = written(rated.select("idx", "time_ms", F.when(span > 0, (within - F.col("_under")) / F.when(span > 0, span)).otherwise(F.lit(0.0)).alias("rate")), "rates")
+    out = {}
+    for a, b in lags:
+        from_, to = (counts.select((F.col("hour") - x).alias("idx"), F.col("before").alias(c)) for x, c in ((a, "_a"), (b, "_b")))
+        both = rated.join(from_, "idx").join(to, "idx")
+        out[a, b] = written(both.select("idx", "time_ms", "rate", (F.col("_b") - F.col("_a")).alias("observed"), (F.col("rate") * (b - a)).alias("expected")), "hours")
+    return out
+
+
 def ratio_of(rows: DataFrame) -> DataFrame:
     a = rows.agg(F.count("*").alias("triggers"), F.coalesce(F.sum("observed"), F.lit(0)).cast("long").alias("observed"), F.coalesce(F.sum("expected"), F.lit(0.0)).alias("expected"))
     return a.withColumn("ratio", F.when(F.col("expected") > 0, F.col("observed") / F.col("expected")))
 
 
 def hash_draws(pool: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
-    """(iter, idx): n hours without replacement in each iteration, those of least md5; the same in any engine."""
-    each = pool.select("idx", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter"))
+    """(iter, idx): n hours without replacement in each iteration, those of least md5; the same in any engine.
+
+    Only hashes below a bound that some more than n of the hours fall under are ordered; an iteration in which fewer do, which
+    chance hardly ever brings about, is drawn again from all hours. So rows grow with the draws, not with the pool.
+    """
+    hours = pool.count()
     order = F.md5(F.concat_ws(":", F.lit(seed), "iter", "idx").cast("binary"))
-    return each.withColumn("_h", order).withColumn("_r", F.row_number().over(Window.partitionBy("iter").orderBy("_h", "idx"))).where(F.col("_r") <= n).select("iter", "idx")
+    least = lambda rows: rows.withColumn("_r", F.row_number().over(Window.partitionBy("iter").orderBy("_h", "idx"))).where(F.col("_r") <= n)
+    each = pool.select("idx", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter")).withColumn("_h", order)
+    share = (n + 8 * n**0.5 + 8) / max(1, hours)
+    if share >= 0.8:
+        return least(each).select("iter", "idx")
+    low = written(least(each.where(F.col("_h") < f"{int(share * 2**32):08x}")), "draws")
+    short = low.groupBy("iter").agg(F.count("*").alias("_c")).where(F.col("_c") == n)
+    again = written(pool.sparkSession.range(iterations).select(F.col("id").cast("int").alias("iter")).join(short, "iter", "left_anti"), "again")
+    if again.isEmpty():
+        return low.select("iter", "idx")
+    more = least(pool.select("idx").crossJoin(F.broadcast(again)).withColumn("_h", order))
+    return low.join(again, "iter", "left_anti").select("iter", "idx").union(more.select("iter", "idx"))
 
 
 def null_by_hash(table: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
@@ -60,13 +104,20 @@ def null_by_hash(table: DataFrame, n: int, iterations: int, seed: int) -> DataFr
     return s.select("iter", F.when(F.col("e") > 0, F.col("o") / F.col("e")).alias("ratio"))
 
 
-def null_by_numpy(table: DataFrame, n: int, iterations: int, seed: int, most_hours: int = 4_000_000) -> DataFrame:
-    """The same null by numpy in tasks of iterations: the table (its hours are counted: 64 MB at most) goes to every executor."""
+MOST_HOURS = 4_000_000
+
+
+def null_by_numpy(table: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
+    """The same null with numpy's draws, in tasks of iterations: the table goes to every executor.
+
+    Its hours are counted first; beyond 4,000,000 of them (64 MB, 456 years) it refuses, and null_by_hash is the one to use:
+    the two draw differently, so neither stands in for the other.
+    """
     count = table.count()
     if n > count:
         raise ValueError("more draws than hours")
-    if count > most_hours:
-        return null_by_hash(table, n, iterations, seed)
+    if count > MOST_HOURS:
+        raise ValueError("too many hours for numpy's draws; use mode hash")
     rows = table.orderBy("idx").select("expected", "observed").toPandas().to_numpy(dtype=float)
     shared = table.sparkSession.sparkContext.broadcast(rows)
 

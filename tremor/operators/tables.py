@@ -11,9 +11,12 @@ _own: dict[str, str] = {}
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir (a temporary folder where that is unset), read back: lineage ends here."""
+    """df as Parquet in spark.checkpoint.dir (in local mode a temporary folder where that is unset), read back: lineage ends here."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tremor-"))
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tremor-"))
     path = f"{base.rstrip('/')}/tremor-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -544,7 +544,7 @@ nulls AS (SELECT iter, sum(o) / sum(e) AS ratio FROM drawn, trig WHERE r <= n GR
 
 def kp_null(spark, d, iterations=ITER):
     g = grid(spark, d, "kp")
-    table = stats.hour_table(S.eligible(g, "kp", 1), big(spark, d), 0, 24, START_MS, END_MS, HALF)
+    table = stats.hour_tables(S.eligible(g, "kp", 1), big(spark, d), ((0, 24),), START_MS, END_MS, HALF)[0, 24]
     n = S.episodes(g, "kp", 6.0).count()
     return stats.null_by_hash(table, n, iterations, 7)
 
@@ -590,20 +590,22 @@ def registered_permutation_p(spark, d):
     return rounded(stats.p_value(kp_null(spark, d, K.ITERATIONS), 1.0, K.ITERATIONS), "p")
 
 
-@query("""WITH t AS (SELECT p_partkey AS test_id, ((p_partkey * 7919) % 1000 + 1) / 1001.0 AS p FROM part WHERE p_partkey <= 40), r AS (SELECT *, row_number() OVER (ORDER BY p, test_id) AS k FROM t),
-a AS (SELECT *, least(1.0, min(p * 60 / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r) SELECT test_id, round(p, 6) AS p, round(q, 6) AS p_adjusted, q <= 0.3 AS rejected FROM a""")
-def bh_adjusted(spark, d):
-    t = spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 40").selectExpr("p_partkey as test_id", "((p_partkey * 7919) % 1000 + 1) / 1001.0D as p")
-    return rounded(stats.benjamini_hochberg(t, 0.3, 60), "p", "p_adjusted")
+BH_SQL = """WITH t AS (SELECT p_partkey AS test_id, ((p_partkey * 7919) % 1000 + 1) / 1001.0 AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, test_id) AS k, count(*) OVER () AS m FROM t),
+a AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r) SELECT test_id, round(p, 6) AS p, round(q, 6) AS p_adjusted, q <= 0.3 AS rejected FROM a"""
 
 
-@query()
-def bh_adjusted_all(spark, d):
-    """The adjustment of bh_adjusted over every part, in a family of their count."""
+@query(BH_SQL)
+def bh_adjusted(spark, d):
+    """Every part is a test, in a family of their count."""
     t = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey as test_id", "((p_partkey * 7919) % 1000 + 1) / 1001.0D as p")
     return rounded(stats.benjamini_hochberg(t, 0.3), "p", "p_adjusted")
 
 
+@query(BH_SQL)
+def bh_adjusted_all(spark, d):
+    return bh_adjusted(spark, d)
+
+
 # ------------------------------------------------------------------ the registered tests, over the span there is
 
 def lag_tests_sql(name: str, targets: str, trig: str, lags: list[tuple[int, int]]) -> str:

@@ -68,22 +68,22 @@ def _rows(name: str, table: DataFrame, triggers: DataFrame, lag: tuple[int, int]
     return row.join(F.broadcast(stats.p_value(null, first["ratio"] or 0.0, p.iterations)))
 
 
-def series_test(events: DataFrame, series: DataFrame, p: Parameters, name: str, value: str, threshold: float, above: bool, least_hours: int, with_null: bool = True) -> list[DataFrame]:
+def series_test(targets: DataFrame, series: DataFrame, p: Parameters, name: str, value: str, threshold: float, above: bool, least_hours: int, with_null: bool = True) -> list[DataFrame]:
     """H4c and H3b: onsets of threshold episodes against eligible hours of the series."""
-    targets = targets_of(events, p)
     grid = written(hourly_grid(series, p.start_ms, p.end_ms, [value]), "grid")
-    onsets = episodes(grid, value, threshold, above, least_hours).select(((F.col("onset_ms") - p.start_ms) / K.HOUR_MS).cast("long").alias("idx"))
-    pool = eligible(grid, value, least_hours)
-    return [_rows(f"{p.hypothesis}/{name}", written(stats.hour_table(pool, targets, a, b, p.start_ms, p.end_ms, p.half_ms), "hours"), onsets, (a, b), p, with_null) for a, b in p.lags]
+    onsets = written(episodes(grid, value, threshold, above, least_hours).select(((F.col("onset_ms") - p.start_ms) / K.HOUR_MS).cast("long").alias("idx")), "onsets")
+    tables = stats.hour_tables(eligible(grid, value, least_hours), targets, p.lags, p.start_ms, p.end_ms, p.half_ms)
+    return [_rows(f"{p.hypothesis}/{name}", table, onsets, lag, p, with_null) for lag, table in tables.items()]
 
 
 def h4c(events: DataFrame, series: DataFrame, p: Parameters, with_null: bool = True) -> DataFrame:
-    rows = series_test(events, series, p, "kp>=6", "kp", K.TRIGGER_KP, True, 1, with_null) + series_test(events, series, p, "dst<=-100", "dst", K.TRIGGER_DST, False, 1, with_null)
+    targets = targets_of(events, p)
+    rows = series_test(targets, series, p, "kp>=6", "kp", K.TRIGGER_KP, True, 1, with_null) + series_test(targets, series, p, "dst<=-100", "dst", K.TRIGGER_DST, False, 1, with_null)
     return adjusted(rows, p, with_null)
 
 
 def h3b(events: DataFrame, series: DataFrame, p: Parameters, with_null: bool = True) -> DataFrame:
-    return adjusted(series_test(events, series, p, "wind>=500", "wind_speed", K.STREAM_WIND, True, K.STREAM_HOURS, with_null), p, with_null)
+    return adjusted(series_test(targets_of(events, p), series, p, "wind>=500", "wind_speed", K.STREAM_WIND, True, K.STREAM_HOURS, with_null), p, with_null)
 
 
 def every_hour(spark, p: Parameters) -> DataFrame:
@@ -96,12 +96,14 @@ def h1b(events: DataFrame, flares: DataFrame, p: Parameters, with_null: bool = T
     pool = every_hour(events.sparkSession, p)
     rows = []
     big = flares.where(F.col("peak_ms").between(p.start_ms, p.end_ms - 1)).select(F.col("peak_ms").alias("time_ms"))
+    rated = written(stats.local_rate(big, targets, p.start_ms, p.end_ms, p.half_ms), "rates")
+    tables = stats.hour_tables(pool, targets, p.lags, p.start_ms, p.end_ms, p.half_ms) if with_null else {}
     for a, b in p.lags:
-        real = stats.ratio_of(stats.hour_table(big, targets, a, b, p.start_ms, p.end_ms, p.half_ms)).select(F.lit(f"H1b/flare>=M1.0/{a}-{b}h").alias("test_id"), "triggers", "observed", "expected", "ratio")
+        seen = stats.lag_counts(rated, targets, a, b).withColumn("expected", F.col("rate") * (b - a))
+        real = stats.ratio_of(seen).select(F.lit(f"H1b/flare>=M1.0/{a}-{b}h").alias("test_id"), "triggers", "observed", "expected", "ratio")
         if with_null:
             first = real.first()
-            table = written(stats.hour_table(pool, targets, a, b, p.start_ms, p.end_ms, p.half_ms), "hours")
-            null = (stats.null_by_numpy if p.mode == "numpy" else stats.null_by_hash)(table, first["triggers"], p.iterations, K.SEEDS["H1b"]).withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+            null = (stats.null_by_numpy if p.mode == "numpy" else stats.null_by_hash)(tables[a, b], first["triggers"], p.iterations, K.SEEDS["H1b"]).withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
             real = real.join(F.broadcast(stats.p_value(null, first["ratio"] or 0.0, p.iterations)))
         rows.append(real)
     return adjusted(rows, p, with_null)
