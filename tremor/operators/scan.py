@@ -116,15 +116,22 @@ def is_complete(ledger: DataFrame, min_magnitude: float, epoch_year: int, curren
     return missing_years(completed_years(ledger, min_magnitude), epoch_year, current_year - 1).agg((F.count("*") == 0).alias("complete"))
 
 
-def uncovered_years(ledger: DataFrame, start_ms: int, end_ms: int, now_ms: int) -> DataFrame:
-    """Years of [start, end] that neither the ledger covers, nor being the current year of a begun archive, nor the rolling cache."""
+def uncovered_years(ledger: DataFrame, start_ms: int, end_ms: int, now_ms: int, min_magnitude: float = K.ARCHIVE_FLOOR) -> DataFrame:
+    """Years of [start, end] that nothing covers: no ledger row at or below the floor, nor the rolling cache.
+
+    The current year counts as covered once any year at that floor is; the cache covers a year whose part of the span lies
+    within the last 720 hours.
+    """
     spark = ledger.sparkSession
+    done = completed_years(ledger, min_magnitude).select(F.col("year").cast("int").alias("year"))
     span = spark.range(1).select(F.explode(F.sequence(F.year(F.timestamp_millis(F.lit(start_ms))), F.year(F.timestamp_millis(F.lit(end_ms))))).alias("year"))
-    begun = ledger.agg((F.count("*") > 0).alias("begun"))
-    slice_start = F.greatest(F.unix_millis(F.make_timestamp(F.col("year"), *[F.lit(x) for x in (1, 1, 0, 0, 0)])), F.lit(start_ms))
-    left = span.join(ledger.select(F.col("year").cast("int").alias("year")).distinct(), "year", "left_anti").join(F.broadcast(begun))
+    begun = done.agg((F.count("*") > 0).alias("begun"))
+    first_of = lambda y: F.unix_millis(F.make_timestamp(y, *[F.lit(x) for x in (1, 1, 0, 0, 0)]))
+    slice_start, slice_end = F.greatest(first_of(F.col("year")), F.lit(start_ms)), F.least(first_of(F.col("year") + 1) - 1, F.lit(end_ms))
+    left = span.join(done, "year", "left_anti").join(F.broadcast(begun))
     current = (F.col("year") == F.year(F.timestamp_millis(F.lit(now_ms)))) & F.col("begun")
-    return left.where(~current & (slice_start < now_ms - K.RETENTION_HOURS * K.HOUR_MS)).select("year")
+    cached = (slice_start >= now_ms - K.RETENTION_HOURS * K.HOUR_MS) & (slice_end <= now_ms)
+    return left.where(~current & ~cached).select("year")
 
 
 def planned_chunks(spark, ledger: DataFrame, current_year: int) -> DataFrame:

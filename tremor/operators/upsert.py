@@ -11,7 +11,8 @@ from tremor import constants as K
 def merge_latest(old: DataFrame, new: DataFrame, key: str, order: str | None = None, keep_old: tuple[str, ...] = ()) -> DataFrame:
     """New rows replace old ones of the same key; within a batch the last by `order` wins; `keep_old` columns never change.
 
-    Only the batch is deduplicated by a window; the table meets it in one join on the key.
+    Only the batch is deduplicated by a window; the table meets it in one join on the key. Without `order` the batch must not
+    repeat a key: each repeat would be a row. A null key equals no other, so such rows of both sides stay.
     """
     if order is not None:
         new = new.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
@@ -45,3 +46,20 @@ def migrate(df: DataFrame, steps: list, done: int) -> tuple[DataFrame, int]:
     for step in steps[done:]:
         df = step(df)
     return df, len(steps)
+
+
+def record_chunk(ledger: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The ledger with chunks (year, min_magnitude, ...) recorded, one row a year and floor; a chunk done again replaces its row."""
+    rows = ledger.join(chunks.select("year", "min_magnitude").distinct(), ["year", "min_magnitude"], "left_anti").select(*ledger.columns)
+    return rows.unionByName(chunks.select(*ledger.columns))
+
+
+def put_state(state: DataFrame, key: str, value: str, updated_ms: int) -> DataFrame:
+    """The (key, value, updated_ms) table with one key set anew."""
+    row = state.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("value"), F.lit(updated_ms).cast("long").alias("updated_ms"))
+    return state.where(F.col("key") != key).unionByName(row)
+
+
+def get_state(state: DataFrame, key: str) -> DataFrame:
+    """The value of a key: no row where it was never set."""
+    return state.where(F.col("key") == key).select("value")

@@ -125,6 +125,15 @@ def aurora_cells(points: DataFrame) -> DataFrame:
     return points.select((90 - F.col("latitude")).cast("int").alias("row"), F.pmod(F.col("longitude") + 180, F.lit(360)).cast("int").alias("col"), value.cast("int").alias("value"))
 
 
+AURORA_CELLS = 360 * 181
+
+
+def aurora_grid(points: DataFrame) -> DataFrame:
+    """aurora_cells of a whole grid: any other number of points is an error when the result is read."""
+    counted = points.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") != AURORA_CELLS, F.raise_error(F.lit(f"not {AURORA_CELLS} cells"))).cast("string").alias("_bad"))
+    return aurora_cells(points).join(F.broadcast(counted)).where("_bad is null").drop("_bad")
+
+
 def keep_richest(flares: DataFrame, order: str) -> DataFrame:
     """Of rows with one id, the one with most of location, region and end time; the first on ties."""
     rich = F.col("source_location").isNotNull().cast("int") + F.col("active_region_number").isNotNull().cast("int") + F.col("end_time_utc").isNotNull().cast("int")
