@@ -99,7 +99,12 @@ def null_by_hash(table: DataFrame, n: int, iterations: int, seed: int) -> DataFr
     """(iter, ratio) of the permutation null; no value where nothing is expected."""
     if n > table.count():
         raise ValueError("more draws than hours")
-    drawn = hash_draws(table, n, iterations, seed).join(table.select("idx", "expected", "observed"), "idx")
+    return null_of_draws(hash_draws(table, n, iterations, seed), table)
+
+
+def null_of_draws(draws: DataFrame, table: DataFrame) -> DataFrame:
+    """(iter, ratio) of drawn hours (iter, idx), looked up in a table of hours."""
+    drawn = draws.join(table.select("idx", "expected", "observed"), "idx")
     s = drawn.groupBy("iter").agg(F.sum("observed").alias("o"), F.sum("expected").alias("e"))
     return s.select("iter", F.when(F.col("e") > 0, F.col("o") / F.col("e")).alias("ratio"))
 

@@ -535,7 +535,7 @@ def ks_d_plus(spark, d):
     return rounded(stats.d_plus(stats.cdf(stats.distance_counts(stats.window_distances(a, b, 0, 72))), stats.cdf(stats.reference_counts(a, b))), "d_plus", "two_sided")
 
 
-ITER = 60  # of the forms with SQL; the registered_* queries run K.ITERATIONS
+ITER = 60  # of the short forms; the registered_* queries run K.ITERATIONS
 NULL_SQL = f"""{QUAKES_SQL}, {KP_SQL}, pool AS (SELECT idx, (SELECT count(*) FROM targets WHERE p >= time_ms AND p < time_ms + 24 * {HOUR}) AS o, 24 * coalesce({rate_sql('time_ms')}, 0) AS e FROM grid WHERE kp IS NOT NULL),
 trig AS (SELECT count(*) AS n FROM onsets),
 drawn AS (SELECT i AS iter, o, e, row_number() OVER (PARTITION BY i ORDER BY md5('7:' || i || ':' || idx), idx) AS r FROM pool, range({ITER}) t(i)),
@@ -570,12 +570,15 @@ def permutation_p(spark, d):
     return rounded(stats.p_value(kp_null(spark, d), 1.0, ITER), "p")
 
 
-@query()
+LONG_NULL_SQL = NULL_SQL.replace(f"range({ITER}) t(i)", f"range({K.ITERATIONS}) t(i)")
+
+
+@query(f"WITH {LONG_NULL_SQL} SELECT iter, round(ratio, 6) AS ratio FROM nulls")
 def registered_null_distribution(spark, d):
     return rounded(kp_null(spark, d, K.ITERATIONS), "ratio")
 
 
-@query()
+@query(f"WITH {LONG_NULL_SQL} SELECT count(ratio) AS n, round(avg(ratio), 6) AS mean, round(stddev_pop(ratio), 6) AS sd, round(quantile_cont(ratio, 0.5), 6) AS q50, round(quantile_cont(ratio, 0.9), 6) AS q90, round(quantile_cont(ratio, 0.95), 6) AS q95, round(quantile_cont(ratio, 0.99), 6) AS q99 FROM nulls")
 def registered_null_summary(spark, d):
     return rounded(stats.null_summary(kp_null(spark, d, K.ITERATIONS)), "mean", "sd", "q50", "q90", "q95", "q99")
 
@@ -585,7 +588,7 @@ def registered_null_histogram(spark, d):
     return stats.null_histogram(H.written(kp_null(spark, d, K.ITERATIONS), "null"))
 
 
-@query()
+@query(f"WITH {LONG_NULL_SQL} SELECT round((1 + count(*) FILTER (ratio >= 1.0)) / {K.ITERATIONS + 1}.0, 6) AS p FROM nulls")
 def registered_permutation_p(spark, d):
     return rounded(stats.p_value(kp_null(spark, d, K.ITERATIONS), 1.0, K.ITERATIONS), "p")
 
@@ -672,6 +675,63 @@ def h2b_with_null(spark, d):
     return H.h2b(X.quakes(spark, d), direct, parameters("H2b", mode="numpy"))
 
 
+def lag_null_sql(h: str, name: str, k: str, pool: str, hits: str, trig: str | None) -> tuple[str, str]:
+    """CTEs of one series' tests with hash-drawn nulls, and the select of their rows. hits: idx of triggers; trig: their times, where those are not hours."""
+    lags, seed, n = K.LAGS[h], K.SEEDS[h], K.ITERATIONS
+    o = lambda t, a, b: f"(SELECT count(*) FROM targets WHERE p >= {t} + {a * HOUR} AND p < {t} + {b * HOUR})"
+    columns = lambda t: ", ".join(f"{o(t, a, b)} AS o{j}, {b - a} * r AS e{j}" for j, (a, b) in enumerate(lags))
+    seen = f"SELECT {columns('t')} FROM (SELECT t, coalesce({rate_sql('t')}, 0) AS r FROM {trig})" if trig else f"SELECT h{k}.* FROM h{k} JOIN {hits} USING (idx)"
+    ctes = f"""h{k} AS MATERIALIZED (SELECT idx, {columns('time_ms')} FROM (SELECT idx, time_ms, coalesce({rate_sql('time_ms')}, 0) AS r FROM {pool})),
+    seen{k} AS MATERIALIZED ({seen}), d{k} AS (SELECT i, h.*, row_number() OVER (PARTITION BY i ORDER BY md5('{seed}:' || i || ':' || idx), idx) AS rk FROM h{k} h, range({n}) t(i)),
+    n{k} AS MATERIALIZED (SELECT i, {", ".join(f"CASE WHEN sum(e{j}) > 0 THEN sum(o{j}) / sum(e{j}) END AS x{j}" for j in range(len(lags)))} FROM d{k} WHERE rk <= (SELECT count(*) FROM seen{k}) GROUP BY 1)"""
+    value = "coalesce(x{j}, 0)" if h == "H1b" else "x{j}"
+    rows = " UNION ALL ".join(
+        f"""SELECT '{h}/{name}/{a}-{b}h' AS test_id, s.*, (1 + (SELECT count(*) FROM n{k} WHERE {value.format(j=j)} >= coalesce(s.ratio, 0))) / {n + 1}.0 AS p
+        FROM (SELECT count(*) AS triggers, CAST(coalesce(sum(o{j}), 0) AS BIGINT) AS observed, coalesce(sum(e{j}), 0) AS expected, CASE WHEN sum(e{j}) > 0 THEN sum(o{j}) / sum(e{j}) END AS ratio FROM seen{k}) s"""
+        for j, (a, b) in enumerate(lags)
+    )
+    return ctes, rows
+
+
+def matrix_sql(ctes: list[str], rows: list[str]) -> str:
+    ranked = "ranked AS (SELECT *, row_number() OVER (ORDER BY p, test_id) AS k, count(*) OVER () AS m FROM tests)"
+    least = lambda m: f"least(1.0, min(p * {m} / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+    return (
+        ", ".join(ctes) + ", tests AS (" + " UNION ALL ".join(rows) + f"), {ranked}, both_ AS (SELECT *, {least('m')} AS p_run FROM ranked)"
+        + f" SELECT test_id, triggers, observed, round(expected, 6) AS expected, round(ratio, 6) AS ratio, round(p, 6) AS p, round(p_run, 6) AS p_run, round(p_adj, 6) AS p_matrix, p_adj <= {K.FALSE_DISCOVERY_RATE} AS rejected FROM (SELECT *, {least(str(K.MATRIX_SIZE))} AS p_adj FROM ranked JOIN (SELECT test_id, p_run FROM both_) USING (test_id))"
+    )
+
+
+def null_rounded(df):
+    return rounded(df, "expected", "ratio", "p", "p_run", "p_matrix")
+
+
+_KP, _DST = lag_null_sql("H4c", "kp>=6", "1", "(SELECT * FROM grid WHERE kp IS NOT NULL)", "k1", None), lag_null_sql("H4c", "dst<=-100", "2", "(SELECT * FROM grid WHERE dst IS NOT NULL)", "k2", None)
+
+
+@query(gk_sql() + TARGETS + f", {GRID_SQL}, {episodes_sql('k', 'kp >= 6', 1)}, {episodes_sql('s', 'dst <= -100', 1)}, k1 AS (SELECT (onset_ms - {START_MS}) // {HOUR} AS idx FROM k), k2 AS (SELECT (onset_ms - {START_MS}) // {HOUR} AS idx FROM s), " + matrix_sql([_KP[0], _DST[0]], [_KP[1], _DST[1]]))
+def h4c_hash_null(spark, d):
+    """The whole run with draws that SQL can make too."""
+    return null_rounded(H.h4c(X.quakes(spark, d), X.series(spark, d), parameters("H4c")))
+
+
+_WIND = lag_null_sql("H3b", "wind>=500", "1", "(SELECT * FROM (SELECT *, count(wind_speed) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS c FROM grid) WHERE c = 6)", "k1", None)
+
+
+@query(gk_sql() + TARGETS + f", {GRID_SQL}, {episodes_sql('k', 'wind_speed >= 500', 6)}, k1 AS (SELECT (onset_ms - {START_MS}) // {HOUR} AS idx FROM k), " + matrix_sql([_WIND[0]], [_WIND[1]]))
+def h3b_hash_null(spark, d):
+    return null_rounded(H.h3b(X.quakes(spark, d), X.series(spark, d), parameters("H3b")))
+
+
+_FLARE = lag_null_sql("H1b", "flare>=M1.0", "1", f"(SELECT i AS idx, {START_MS} + i * {HOUR} AS time_ms FROM range(719) t(i))", "", "ft")
+
+
+@query(gk_sql(more=f", {FLARES_SQL}") + TARGETS + f", ft AS MATERIALIZED (SELECT peak_ms AS t FROM flares WHERE (flare_class = 'X' OR (flare_class = 'M' AND magnitude >= 1.0)) AND peak_ms >= {START_MS} AND peak_ms < {END_MS}), " + matrix_sql([_FLARE[0]], [_FLARE[1]]))
+def h1b_hash_null(spark, d):
+    big_flares = X.flares(spark, d).where(scan.flare_at_least(F.col("flare_class"), F.col("magnitude"), "M"))
+    return null_rounded(H.h1b(X.quakes(spark, d), big_flares, parameters("H1b")))
+
+
 @query()
 def h5_test(spark, d):
     return rounded(H.h5(X.quakes(spark, d), parameters("H5", mode="numpy")), "d_plus", "two_sided")

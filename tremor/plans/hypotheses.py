@@ -54,18 +54,22 @@ def targets_of(events: DataFrame, p: Parameters) -> DataFrame:
     return written(decluster(events.where(F.col("magnitude") >= p.target_magnitude)).where(F.col("time_ms").between(p.start_ms, p.end_ms)), "targets")
 
 
-def _rows(name: str, table: DataFrame, triggers: DataFrame, lag: tuple[int, int], p: Parameters, with_null: bool) -> DataFrame:
-    """One row of a lag-window test; triggers are hours of the table."""
-    hit = table.join(triggers.select("idx"), "idx")
-    row = stats.ratio_of(hit).select(F.lit(f"{name}/{lag[0]}-{lag[1]}h").alias("test_id"), "triggers", "observed", "expected", "ratio")
-    if not with_null:
-        return row
-    first = row.first()
-    n, seed = first["triggers"], K.SEEDS[p.hypothesis]
-    null = (stats.null_by_numpy if p.mode == "numpy" else stats.null_by_hash)(table, n, p.iterations, seed)
+def _nulls(tables: dict, n: int, p: Parameters):
+    """A function that gives the null of a lag; hash draws are made once for all lags, since they depend on the hours alone."""
+    seed = K.SEEDS[p.hypothesis]
+    if p.mode == "numpy":
+        return lambda lag: stats.null_by_numpy(tables[lag], n, p.iterations, seed)
+    pool = next(iter(tables.values()))
+    if n > pool.count():
+        raise ValueError("more draws than hours")
+    draws = written(stats.hash_draws(pool, n, p.iterations, seed), "draws")
+    return lambda lag: stats.null_of_draws(draws, tables[lag])
+
+
+def _with_p(row: DataFrame, null: DataFrame, p: Parameters) -> DataFrame:
     if p.hypothesis == "H1b":
         null = null.withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
-    return row.join(F.broadcast(stats.p_value(null, first["ratio"] or 0.0, p.iterations)))
+    return row.join(F.broadcast(stats.p_value(null, row.first()["ratio"] or 0.0, p.iterations)))
 
 
 def series_test(targets: DataFrame, series: DataFrame, p: Parameters, name: str, value: str, threshold: float, above: bool, least_hours: int, with_null: bool = True) -> list[DataFrame]:
@@ -73,7 +77,11 @@ def series_test(targets: DataFrame, series: DataFrame, p: Parameters, name: str,
     grid = written(hourly_grid(series, p.start_ms, p.end_ms, [value]), "grid")
     onsets = written(episodes(grid, value, threshold, above, least_hours).select(((F.col("onset_ms") - p.start_ms) / K.HOUR_MS).cast("long").alias("idx")), "onsets")
     tables = stats.hour_tables(eligible(grid, value, least_hours), targets, p.lags, p.start_ms, p.end_ms, p.half_ms)
-    return [_rows(f"{p.hypothesis}/{name}", table, onsets, lag, p, with_null) for lag, table in tables.items()]
+    rows = {lag: stats.ratio_of(table.join(onsets, "idx")).select(F.lit(f"{p.hypothesis}/{name}/{lag[0]}-{lag[1]}h").alias("test_id"), "triggers", "observed", "expected", "ratio") for lag, table in tables.items()}
+    if not with_null:
+        return list(rows.values())
+    null = _nulls(tables, next(iter(rows.values())).first()["triggers"], p)
+    return [_with_p(row, null(lag), p) for lag, row in rows.items()]
 
 
 def h4c(events: DataFrame, series: DataFrame, p: Parameters, with_null: bool = True) -> DataFrame:
@@ -101,11 +109,10 @@ def h1b(events: DataFrame, flares: DataFrame, p: Parameters, with_null: bool = T
     for a, b in p.lags:
         seen = stats.lag_counts(rated, targets, a, b).withColumn("expected", F.col("rate") * (b - a))
         real = stats.ratio_of(seen).select(F.lit(f"H1b/flare>=M1.0/{a}-{b}h").alias("test_id"), "triggers", "observed", "expected", "ratio")
-        if with_null:
-            first = real.first()
-            null = (stats.null_by_numpy if p.mode == "numpy" else stats.null_by_hash)(tables[a, b], first["triggers"], p.iterations, K.SEEDS["H1b"]).withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
-            real = real.join(F.broadcast(stats.p_value(null, first["ratio"] or 0.0, p.iterations)))
         rows.append(real)
+    if with_null:
+        null = _nulls(tables, rows[0].first()["triggers"], p)
+        rows = [_with_p(row, null(lag), p) for row, lag in zip(rows, p.lags)]
     return adjusted(rows, p, with_null)
 
 
