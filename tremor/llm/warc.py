@@ -96,7 +96,7 @@ class _Tail:
     """A file from one place on, read in chunks."""
 
     def __init__(self, f, at: int, size: int):
-        self.f, self.at, self.size, self.data = f, at, size, b""
+        self.f, self.at, self.size, self.data = f, at, size, bytearray()
 
     def more(self) -> bool:
         got = self.f.read_at(min(CHUNK, self.size - self.at - len(self.data)), self.at + len(self.data)) if self.at + len(self.data) < self.size else b""
@@ -104,7 +104,8 @@ class _Tail:
         return bool(got)
 
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        del self.data[:n]
+        self.at += n
 
 
 def _decoded(tail: _Tail, head: int | None = None) -> tuple[bytes, int] | None:
@@ -114,7 +115,7 @@ def _decoded(tail: _Tail, head: int | None = None) -> tuple[bytes, int] | None:
     while not z.eof:
         if fed == len(tail.data) and not tail.more():
             return None
-        part = tail.data[fed : fed + CHUNK]
+        part = bytes(tail.data[fed : fed + CHUNK])
         try:
             got = z.decompress(part, (head - n) if head else 0)
         except zlib.error:
@@ -128,7 +129,12 @@ def _decoded(tail: _Tail, head: int | None = None) -> tuple[bytes, int] | None:
 
 
 def records(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, decoded record) of the members that start in [start, end) and decode to a WARC header."""
+    """(offset, decoded record) of the members that start in [start, end) and decode to a WARC header.
+
+    A range that starts within a member goes on to the next candidate that decodes so. In archives of others a payload with
+    whole gzip members of WARC records, stored uncompressed, could pass for records there; the texts that `write` stores
+    cannot, since no UTF-8 holds the magic.
+    """
     tail = _Tail(f, start, size)
     while tail.at < end:
         at = tail.data.find(MAGIC)
