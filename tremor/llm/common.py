@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +21,46 @@ BROADCAST_ROWS = 1_000_000
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
+_lists: list[list[str]] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tremor-"))
     return base.rstrip("/")
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders that stage() made."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for p in paths:
+        path = hadoop.Path(p.rpartition("/")[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The folders that stage() makes meanwhile, but for those of an inner collecting() or with keep=True."""
+    _lists.append([])
+    try:
+        yield _lists[-1]
+    finally:
+        _lists.pop()
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Delete afterwards what stage() has written meanwhile, but for tables with keep=True: the result must not read the others."""
+    with collecting() as paths:
+        yield
+    delete(spark, paths)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once an application."""
     app = spark.sparkContext.applicationId
@@ -56,14 +87,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch(spark)}/tremor-{uuid.uuid4().hex}/{label}"
 
 
-def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "snappy", keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    Cuts lineage, and unlike an executor's cache it survives the loss of executors.
+    Cuts lineage, and unlike an executor's cache it survives the loss of executors. With `keep`, a discarding() around it
+    leaves it, and the next one out decides.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", codec).parquet(path)
+    at = len(_lists) - 1 - keep
+    if at >= 0:
+        _lists[at].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from tremor.llm.common import BINARY, LONG, broadcast_if_small, extended, map_arrow, stage
+from tremor.llm.common import BINARY, LONG, broadcast_if_small, discarding, extended, map_arrow, stage
 from tremor.llm.components import components
 
 MOST_MATCHES = 8
@@ -169,13 +169,16 @@ def _close(x: Column, y: Column, percent: int) -> Column:
 def starred(rows: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b): every node with the head of its most crowded shingle that is still open.
 
-    The head is, of the holders outside the component that holds most, the one with the fewest shingles of its own for its
-    size: near copies differ least from it. One candidate a node, so a round never makes more pairs than there are nodes.
+    The head is, of the holders in another component, one with few shingles of its own for its size: near copies differ
+    least from it. One candidate a node, so a round never makes more pairs than there are nodes.
     """
     excess = F.col("own") - F.col("n") * (100 - percent) / (100 + percent)
-    heads = rows.groupBy("t").agg(F.min(F.struct(excess.alias("e"), "g", "n", "own", "comp")).alias("h"))
-    heads = rows.join(heads, "t").groupBy("t").agg(F.first("h").alias("h"), F.min(F.when(F.col("comp") != F.col("h.comp"), F.struct(excess.alias("e"), "g", "n", "own", "comp"))).alias("h2"))
-    met = rows.join(heads, "t").withColumn("to", F.when(F.col("comp") != F.col("h.comp"), F.col("h")).otherwise(F.col("h2")))
+    row = F.struct(excess.alias("e"), "g", "n", "own", "comp")
+    odd = F.xxhash64("comp").bitwiseAND(F.lit(1)) == 1  # two heads, of components of either kind, so that they differ
+    heads = rows.groupBy("t").agg(F.min(F.when(odd, row)).alias("h1"), F.min(F.when(~odd, row)).alias("h2"))
+    first = F.coalesce(F.least("h1", "h2"), "h1", "h2")
+    heads = heads.select("t", first.alias("h"), F.when(first == F.col("h1"), F.col("h2")).otherwise(F.col("h1")).alias("other"))
+    met = rows.join(heads, "t").withColumn("to", F.when(F.col("comp") != F.col("h.comp"), F.col("h")).otherwise(F.col("other")))
     differ = F.col("n") + F.col("to.n") - 2 * _overlap(F.col("n"), F.col("to.n"), percent)
     met = met.where(_close(F.col("n"), F.col("to.n"), percent) & (F.col("own") + F.col("to.own") <= differ))
     one = met.groupBy("g").agg(F.max(F.struct("pos", F.col("to.g").alias("to"))).alias("x"))
@@ -224,24 +227,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hashes: a chance of about 1e-13 a pair of documents that one is mistaken. An empty table gives an empty result.
     """
     names = {"id_col": id_col, "text_col": text_col, "words": words}
-    sigs = stage(signatures(docs, **names, part=sample_of(percent)), "signatures")
-    nodes = stage(sigs.where("n > 0").groupBy("sig").agg(F.min("_id").alias("rep"), F.min("n").alias("n"), F.min("g").alias("g")), "nodes")
-    own = sigs.select("g", F.explode("sample").alias("t")).groupBy("t").agg(F.min("g").alias("g"), F.max("g").alias("other")).where("g = other").groupBy("g").agg(F.count("*").alias("own"))
-    wanted = nodes.where("rep is not null").join(own, "g", "left").where(F.coalesce("own", F.lit(0)) <= _spare(F.col("n"), percent)).select("rep", "g")
-    wanted = stage(wanted, "wanted")
-    sets = stage(_sets_of(docs, broadcast_if_small(wanted, wanted.count()), **names), "sets")
-    comps = components(links(sets, percent))
-    named = nodes.join(comps.select(F.col("node").alias("g"), "comp"), "g", "left").withColumn("comp", F.coalesce("comp", "g"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component"))
-    final = stage(named.select("sig", "comp").join(least, "comp").select("sig", "component"), "final")
+    with discarding(docs.sparkSession):
+        sigs = stage(signatures(docs, **names, part=sample_of(percent)), "signatures", keep=True)
+        nodes = stage(sigs.where("n > 0").groupBy("sig").agg(F.min("_id").alias("rep"), F.min("n").alias("n"), F.min("g").alias("g")), "nodes")
+        own = sigs.select("g", F.explode("sample").alias("t")).groupBy("t").agg(F.min("g").alias("g"), F.max("g").alias("other")).where("g = other").groupBy("g").agg(F.count("*").alias("own"))
+        wanted = nodes.where("rep is not null").join(own, "g", "left").where(F.coalesce("own", F.lit(0)) <= _spare(F.col("n"), percent)).select("rep", "g")
+        wanted = stage(wanted, "wanted")
+        sets = stage(_sets_of(docs, broadcast_if_small(wanted, wanted.count()), **names), "sets")
+        comps = components(links(sets, percent))
+        named = nodes.join(comps.select(F.col("node").alias("g"), "comp"), "g", "left").withColumn("comp", F.coalesce("comp", "g"))
+        least = named.groupBy("comp").agg(F.min("rep").alias("component"))
+        final = stage(named.select("sig", "comp").join(least, "comp").select("sig", "component"), "final", keep=True)
     placed = sigs.select("_id", "n", "sig").join(final, "sig", "left")
     return placed.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents less those of which a linked one has a smaller id; rows that repeat an id share its fate. Texts without words stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
-    gone = stage(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    with discarding(docs.sparkSession):
+        found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
+        gone = stage(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone", keep=True)
     return docs.join(broadcast_if_small(gone, gone.count()), docs[id_col] == gone["_gone"], "left_anti")
 
 
