@@ -53,9 +53,22 @@ def test_counts_before(spark):
     assert all(r.n == 0 for r in counts_before(q, p.limit(0), "t", "p", "n", True).collect())
 
 
-def test_boxes_and_wrapping(spark):
-    r = spark.range(1).select(F.size(geo.search_boxes(0.0, 179.9, 100.0)).alias("two"), F.size(geo.search_boxes(0.0, 0.0, 100.0)).alias("one"), geo.wrap_half_open(180.0).alias("a"), geo.wrap_upper(-180.0).alias("b"), geo.haversine_km(0.0, 179.9, 0.0, -179.9).alias("d")).first()
-    assert (r.two, r.one, r.a, r.b) == (2, 1, -180.0, 180.0) and abs(r.d - 22.24) < 0.01
+def test_bounds_of_circles_and_wrapping(spark):
+    near = lambda lat, lon, a, b, km: geo.around(F.lit(lat), F.lit(lon), a, b, km)
+    r = spark.range(1).select(
+        near(0.0, -179.9, 0.0, 179.9, 100.0).alias("over"), near(0.0, 0.0, 0.0, 179.9, 100.0).alias("far"), near(89.9, 10.0, 89.8, -170.0, 100.0).alias("pole"), near(2.0, 0.0, 0.0, 0.0, 100.0).alias("north"),
+        geo.wrap_half_open(180.0).alias("a"), geo.wrap_upper(-180.0).alias("b"), geo.haversine_km(0.0, 179.9, 0.0, -179.9).alias("d"),
+    ).first()
+    assert (r.over, r.far, r.pole, r.north, r.a, r.b) == (True, False, True, False, -180.0, 180.0) and abs(r.d - 22.24) < 0.01
+
+
+def test_circles_lose_nothing(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "event_id long, latitude double, longitude double")
+    for lat, lon, km in ((0.0, 179.5, 500.0), (88.0, 30.0, 700.0), (-60.0, -179.0, 1500.0), (45.0, 10.0, 3000.0)):
+        got = {r.event_id for r in df.where(geo.in_circle("latitude", "longitude", lat, lon, km)).collect()}
+        assert {i for i, a, b in rows if haversine(lat, lon, a, b) <= km * 0.998} <= got <= {i for i, a, b in rows if haversine(lat, lon, a, b) <= km * 1.000001}
 
 
 def test_nearest_line_both_ways(spark):

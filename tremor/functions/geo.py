@@ -1,4 +1,4 @@
-"""Columns on the sphere: distance, antipode, wrapping, boxes, great-circle steps, distance to a segment."""
+"""Columns on the sphere: distance, antipode, wrapping, bounds of circles, great-circle steps, distance to a segment."""
 
 from __future__ import annotations
 
@@ -39,30 +39,17 @@ def within_degrees(lon, centre, degrees) -> Column:
     return F.abs(F.pmod(_c(lon) - _c(centre) + 180, F.lit(360.0)) - 180) <= _c(degrees)
 
 
-def search_boxes(lat, lon, radius_km) -> Column:
-    """One or two boxes (min_lon, max_lon, min_lat, max_lat) around a circle; two where it crosses 180 degrees."""
-    la, lo, r = _c(lat), _c(lon), _c(radius_km)
-    dlat = r / KM_PER_DEGREE
-    south, north = F.greatest(F.lit(-90.0), la - dlat), F.least(F.lit(90.0), la + dlat)
-    cosine = F.cos(F.radians(F.greatest(F.abs(south), F.abs(north))))
-    full = (cosine < 0.01) | (r / (KM_PER_DEGREE * cosine) >= 180)
-    dlon = r / (KM_PER_DEGREE * F.greatest(cosine, F.lit(0.01)))
-    box = lambda a, b: F.struct(a.alias("min_lon"), b.alias("max_lon"), south.alias("min_lat"), north.alias("max_lat"))
-    west, east = lo - dlon, lo + dlon
-    return (
-        F.when(full, F.array(box(F.lit(-180.0), F.lit(180.0))))
-        .when(west < -180, F.array(box(west + 360, F.lit(180.0)), box(F.lit(-180.0), east)))
-        .when(east > 180, F.array(box(west, F.lit(180.0)), box(F.lit(-180.0), east - 360)))
-        .otherwise(F.array(box(west, east)))
-    )
+def around(lat, lon, centre_lat, centre_lon, radius_km) -> Column:
+    """A band of latitude and a span of longitude, either way round, that bound a circle; near a pole every longitude."""
+    reach = _c(radius_km) / KM_PER_DEGREE
+    cosine = F.cos(F.radians(F.least(F.lit(90.0), F.abs(_c(centre_lat)) + reach)))
+    span = F.when(cosine < 0.01, F.lit(180.0)).otherwise(reach / F.greatest(cosine, F.lit(0.01)))
+    return _c(lat).between(_c(centre_lat) - reach, _c(centre_lat) + reach) & within_degrees(lon, centre_lon, span)
 
 
 def in_circle(lat, lon, centre_lat, centre_lon, radius_km) -> Column:
-    """Within the circle; the boxes come first, so that files can be skipped by their latitude and longitude."""
-    boxes = search_boxes(centre_lat, centre_lon, radius_km)
-    la, lo = _c(lat), _c(lon)
-    boxed = F.exists(boxes, lambda b: lo.between(b["min_lon"], b["max_lon"]) & la.between(b["min_lat"], b["max_lat"]))
-    return boxed & (haversine_km(centre_lat, centre_lon, la, lo) <= _c(radius_km))
+    """Within the circle; the band of latitude comes first, so that files can be skipped by it."""
+    return around(lat, lon, centre_lat, centre_lon, radius_km) & (haversine_km(centre_lat, centre_lon, lat, lon) <= _c(radius_km))
 
 
 def segment_km(lat, lon, ax, ay, bx, by) -> Column:
