@@ -62,25 +62,20 @@ def independent_ids(events: DataFrame) -> DataFrame:
     """Ids of the events that no independent event makes dependent.
 
     Each round settles the events without an unsettled cause: they are independent, what they cause is dependent, and neither
-    matters to the rest. A round needs only the edges that are left, so rounds shrink quickly.
+    matters to the rest. A round keeps only the edges that are left, so rounds shrink quickly; in the end, what was never
+    caused is independent.
     """
-    nodes = written(events.select("event_id"), "nodes")
-    left = written(edges(events), "edges")
-    found = nodes.join(left.select(F.col("dst").alias("event_id")).distinct(), "event_id", "left_anti")
-    free = left.select(F.col("src").alias("event_id")).distinct().join(left.select(F.col("dst").alias("event_id")).distinct(), "event_id", "left_anti")
-    dependent = None
+    left, dependent = written(edges(events), "edges"), None
+    named = lambda df, c: df.select(F.col("event_id").alias(c))
     while not left.isEmpty():
-        free = written(free, "free")
-        caused = written(left.join(free.withColumnRenamed("event_id", "src"), "src").select(F.col("dst").alias("event_id")).distinct(), "caused")
+        caused_by = left.select(F.col("dst").alias("event_id")).distinct()
+        free = left.select(F.col("src").alias("event_id")).distinct().join(caused_by, "event_id", "left_anti")
+        caused = written(left.join(named(free, "src"), "src", "left_semi").select(F.col("dst").alias("event_id")).distinct(), "caused")
+        settled = free.union(caused)
         dependent = caused if dependent is None else dependent.union(caused)
-        rest = left.join(caused.withColumnRenamed("event_id", "dst"), "dst", "left_anti").join(caused.withColumnRenamed("event_id", "src"), "src", "left_anti")
-        rest = written(rest.join(free.withColumnRenamed("event_id", "src"), "src", "left_anti"), "edges")
-        # An event whose causes have all gone is independent; it is free if it still causes something.
-        settled = left.select(F.col("dst").alias("event_id")).distinct().join(rest.select(F.col("dst").alias("event_id")).distinct(), "event_id", "left_anti").join(caused, "event_id", "left_anti")
-        found = written(found.union(settled), "independent")
-        free = rest.select(F.col("src").alias("event_id")).distinct().join(rest.select(F.col("dst").alias("event_id")).distinct(), "event_id", "left_anti")
-        left = rest
-    return found.distinct()
+        left = written(left.join(named(caused, "dst"), "dst", "left_anti").join(named(settled, "src"), "src", "left_anti"), "edges")
+    ids = events.select("event_id")
+    return (ids if dependent is None else ids.join(dependent, "event_id", "left_anti")).distinct()
 
 
 def decluster(events: DataFrame) -> DataFrame:
