@@ -71,6 +71,35 @@ def test_stream_upsert_reruns_and_late_rows(spark, tmp_path):
     spark.createDataFrame([(2, 7.0), (3, 5.9)], "event_id long, m double").select("event_id", F.timestamp_seconds(F.lit(500)).alias("time_utc"), F.col("m").alias("magnitude")).coalesce(1).write.mode("append").parquet(str(src))
     streams.upsert(stream(), table, "event_id", str(tmp_path / "c")).awaitTermination()
     assert sorted((r.event_id, r.magnitude) for r in table.read().collect()) == [(1, 5.0), (2, 7.0), (3, 5.9)]
+    assert table.versions() == [1, 2] and sorted((r.event_id, r.magnitude) for r in table.read(1).collect()) == [(1, 5.0), (2, 6.0)]
+    changed = {n for n in table._listed(f"{table.path}/v={2:012d}") if n.startswith("bucket=")}
+    assert 1 <= len(changed) <= 2  # of ids 2 and 3; the bucket of id 1 stays as it was, unless they share it
     q = streams.alerts(stream()).writeStream.format("memory").queryName("alerts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "a")).start()
     q.awaitTermination()
     assert sorted(r.event_id for r in spark.table("alerts").collect()) == [2, 3]
+
+
+def test_hours_and_trailing_windows_of_a_stream(spark, tmp_path):
+    rows = [(0, 10.0), (1800, 11.06), (3599, 12.0), (3600, 1.0), (90_000, 5.0)]
+    src = str(tmp_path / "in")
+    spark.createDataFrame(rows, "s long, magnitude double").select(F.timestamp_seconds("s").alias("time_utc"), "magnitude").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("time_utc timestamp, magnitude double").parquet(src)
+    for name, df in (("hours", streams.hourly(stream, "time_utc", "magnitude")), ("trail", streams.trailing(stream, "time_utc"))):
+        df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
+    assert sorted((r.hour.timestamp(), r.magnitude_mean, r.magnitude_max) for r in spark.table("hours").collect()) == [(0.0, 11.0, 12.0), (3600.0, 1.0, 1.0), (90000.0, 5.0, 5.0)]
+    got = {r.until.timestamp(): (r.n, r.max_magnitude) for r in spark.table("trail").collect()}
+    want = {}
+    for k in range(1, 50):
+        inside = [m for s, m in rows if (k - 24) * 3600 <= s < k * 3600]
+        if inside:
+            want[k * 3600.0] = (len(inside), max(inside))
+    assert got == want
+
+
+def test_cells_and_stations(spark):
+    points = spark.createDataFrame([(-180.0, 90.0, 1, 5.0), (-179.0, 89.0, 2, 6.0), (179.9, -89.9, 3, 7.0), (180.0, 0.0, 4, 8.0)], "longitude double, latitude double, seq int, value double")
+    assert sorted(tuple(r) for r in feeds.tec_cells(points).collect()) == [(0, 0, 6.0), (71, 71, 7.0)]
+    doc = json.dumps({"features": [{"id": "A", "properties": {"name": "Alpha"}, "geometry": {"coordinates": [190.0, 5.0]}}, {"id": "B", "properties": {"name": "A Test site"}, "geometry": {"coordinates": [1.0, 2.0]}}]})
+    assert [tuple(r) for r in feeds.stations(frame(spark, doc)).collect()] == [("A", "Alpha", -170.0, 5.0)]
+    cmes = json.dumps([{"simulationID": "1", "estimatedShockArrivalTime": "2024-01-01T00:00Z", "kp_90": 5.0}, {"simulationID": None, "estimatedShockArrivalTime": "2024-01-01T00:00Z"}])
+    assert [(r.simulation_id, r.predicted_kp, r.glancing_blow) for r in feeds.donki_cmes(frame(spark, cmes)).collect()] == [("1", 5.0, False)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,37 +14,55 @@ from tremor.operators.upsert import merge_coalesce, merge_latest
 
 
 class VersionedTable:
-    """A table as numbered Parquet folders: each write is a new one, so a batch that is run again changes nothing."""
+    """A table in buckets of its key, each write a numbered folder with the buckets that it changed.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    A version consists of the latest folder of every bucket up to its number, so a batch rewrites only the buckets that it
+    touches, and one that is run again changes nothing. Rows are replaced or added, never taken out.
+    """
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v={version:012d}"
+    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = 64):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
 
-    def latest(self) -> int:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _listed(self, path: str) -> list[str]:
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return -1
-        done = [s.getPath() for s in fs.listStatus(fs_path)]
-        return max((int(p.getName()[2:]) for p in done if p.getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), default=-1)
+        return [s.getPath().getName() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
+
+    def versions(self) -> list[int]:
+        """Those that were written to the end, in order."""
+        named = sorted(int(n[2:]) for n in self._listed(self.path) if n.startswith("v="))
+        return [v for v in named if "_SUCCESS" in self._listed(f"{self.path}/v={v:012d}")]
+
+    def latest(self) -> int:
+        return max(self.versions(), default=-1)
+
+    def bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).cast("int")
 
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.latest() if version is None else version
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(self._folder(v))
+    def read(self, version: int | None = None, only: set[int] | None = None) -> DataFrame:
+        """The rows of a version, or of the latest; of some buckets, if only those are asked for."""
+        held: dict[int, str] = {}
+        for v in self.versions():
+            if version is None or v <= version:
+                held |= {int(n[7:]): f"{self.path}/v={v:012d}/{n}" for n in self._listed(f"{self.path}/v={v:012d}") if n.startswith("bucket=")}
+        folders = [f for b, f in sorted(held.items()) if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(self._folder(version))
+    def write(self, df: DataFrame, version: int, key: str) -> None:
+        df.withColumn("bucket", self.bucket(key)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version:012d}")
 
 
 def upsert(stream: DataFrame, table: VersionedTable, key: str, checkpoint: str, *, coalesce: bool = False, order: str | None = None, after: Callable[[DataFrame, int], None] | None = None, every: str | None = None) -> StreamingQuery:
-    """Merge each micro-batch into the table as version batch id + 1; one batch runs at a time, and late rows and revisions overwrite."""
+    """Merge each micro-batch into the table as version batch id + 1; one batch runs at a time, and late rows and revisions overwrite.
+
+    Only the buckets that the batch has keys of are read and written.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        old = table.read(min(table.latest(), epoch))
+        touched = {r["b"] for r in batch.select(table.bucket(key).alias("b")).distinct().collect()}  # at most the number of buckets
+        old = table.read(min(table.latest(), epoch), touched)
         merged = merge_coalesce(old, batch, key, order) if coalesce else merge_latest(old, batch, key, order)
-        table.write(merged, epoch + 1)
+        table.write(merged, epoch + 1, key)
         if after is not None:
             after(table.read(epoch + 1), epoch)
 
