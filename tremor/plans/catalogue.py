@@ -583,7 +583,8 @@ def registered_null_summary(spark, d):
     return rounded(stats.null_summary(kp_null(spark, d, K.ITERATIONS)), "mean", "sd", "q50", "q90", "q95", "q99")
 
 
-@query()
+@query(f"""WITH {LONG_NULL_SQL}, e AS (SELECT min(ratio) AS lo, max(ratio) AS hi FROM nulls), c AS (SELECT least(59, floor((ratio - lo) / (hi - lo) * 60)) AS bin, count(*) AS n FROM nulls, e GROUP BY 1)
+SELECT CAST(x AS BIGINT) AS bin, coalesce(n, 0) AS n FROM range(60) t(x) LEFT JOIN c ON bin = x""")
 def registered_null_histogram(spark, d):
     return stats.null_histogram(H.written(kp_null(spark, d, K.ITERATIONS), "null"))
 
