@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.constants import HOUR_MS
+from tremor.operators.tables import written
 
 
 def bucket(t: Column, width: int) -> Column:
@@ -28,6 +29,7 @@ def counts_before(queries: DataFrame, points: DataFrame, at: str, point: str, na
     Points are first counted by instant, so what is ordered within a slot of `width` is its distinct instants at most; counts
     of slots are summed up within groups of 1024 slots, and those of groups over all, a number that time bounds, not the data.
     """
+    queries = written(queries, "queries")  # read twice below
     order = F.lit(0 if inclusive else 2)  # points at the same instant come before the query or after it
     instants = points.groupBy(F.col(point).cast("long").alias("_t")).agg(F.count("*").alias("_n")).where("_t is not null")
     marks = instants.select("_t", "_n", order.alias("_o")).unionByName(queries.select(F.col(at).cast("long").alias("_t"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_o")).where("_t is not null").distinct())
