@@ -200,18 +200,23 @@ class Searcher:
         self.top, self.unit = float(pages["top"].iloc[0]), float(pages["unit"].iloc[0])
         for page, leaf, entries, rows, vectors, radii, dist in zip(*(pages[c] for c in _PAGE[:7])):
             v = np.frombuffer(vectors, "<f8").reshape(len(entries), dim + (not leaf))
-            self.pages[page] = (bool(leaf), np.asarray(entries, np.int64), np.asarray(rows, np.int64), v, np.asarray(radii), np.asarray(dist))
+            y = floored(v) if leaf else v
+            with np.errstate(over="ignore"):
+                most = float((y**2).sum(axis=1).max(initial=0.0)) if leaf else 0.0
+            self.pages[page] = (bool(leaf), np.asarray(entries, np.int64), np.asarray(rows, np.int64), v, np.asarray(radii), np.asarray(dist), y, most)
         self.computed = 0
 
-    def _scores(self, x: np.ndarray, y: np.ndarray, raw: np.ndarray, norm: float) -> list[int]:
-        """Exact inner products; in doubles where no sum can reach 2^53."""
-        v = floored(raw)
-        with np.errstate(over="ignore", invalid="ignore"):
-            most = float((v**2).sum(axis=1).max(initial=0.0)) * norm
+    @staticmethod
+    def _scores(x: np.ndarray, y: np.ndarray, raw: np.ndarray, whole_raw: np.ndarray, most: float, least: int | None) -> tuple[list[int], list[int]]:
+        """(which, score) of the vectors that score `least` or more; in doubles where no sum can reach 2^53, exact either way."""
         if most < float(1 << 104):
-            return (v @ y).astype(np.int64).tolist()
+            scores = whole_raw @ y
+            if least is None:
+                return list(range(len(scores))), scores.astype(np.int64).tolist()
+            which = np.flatnonzero(scores >= float(least))
+            return which.tolist(), scores[which].astype(np.int64).tolist()
         q = whole(x)
-        return [sum(a * b for a, b in zip(q, whole(r))) for r in raw]
+        return list(range(len(raw))), [sum(a * b for a, b in zip(q, whole(r))) for r in raw]
 
     def _reach(self, norm: float, score: int, slack: float) -> float:
         if self.unit == 1.0:
@@ -237,12 +242,13 @@ class Searcher:
             bound, page, to_routing = heapq.heappop(heap)
             if bound > reach:
                 break
-            leaf, entries, rows, vectors, radii, dist = self.pages[page]
+            leaf, entries, rows, vectors, radii, dist, y_of, most = self.pages[page]
             if math.isfinite(reach) and to_routing == to_routing:
                 maybe = np.flatnonzero(np.abs(to_routing - dist) - radii <= reach)
                 if len(maybe) < len(entries):
                     entries, vectors, radii = entries[maybe], vectors[maybe], radii[maybe]
-                    rows = rows[maybe] if leaf else rows
+                    if leaf:
+                        rows, y_of = rows[maybe], y_of[maybe]
             self.computed += len(entries)
             if not leaf:
                 d = np.sqrt(((vectors - longer) ** 2).sum(axis=1)) if bounded else np.zeros(len(entries))
@@ -251,7 +257,9 @@ class Searcher:
                     if low <= reach:
                         heapq.heappush(heap, (low, child, at))
                 continue
-            for s, i, r in zip(self._scores(x, y, vectors, exact_norm), entries.tolist(), rows.tolist()):
+            least = best[0][0] if len(best) == k else floor
+            which, scores = self._scores(x, y, vectors, y_of, most * exact_norm, least)
+            for s, i, r in zip(scores, entries[which].tolist(), rows[which].tolist()):
                 if r == row or (floor is not None and s < floor):
                     continue
                 if len(best) < k:
