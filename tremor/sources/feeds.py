@@ -1,4 +1,4 @@
-"""Parsers of the published feeds: text or JSON columns in, frames of the fixed schemas out. All are column expressions.
+"""Parsers of the published feeds: text or JSON columns in, frames of fixed columns out. All are column expressions.
 
 A feed is landed as files first; readers take a frame with the raw lines or documents, so batch and streaming share them.
 """
