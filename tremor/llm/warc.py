@@ -25,6 +25,7 @@ SPLIT_BYTES = 32 << 20
 FILE_BYTES = 256 << 20
 CHUNK = 1 << 20
 SALTS = 32
+MOST_TASKS = 100_000
 MAGIC = b"\x1f\x8b\x08"
 DATE = "1970-01-01T00:00:00Z"  # archives of one input are the same in every run
 _URN = "urn:tremor:page:"
@@ -174,7 +175,8 @@ def read(manifest: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """
     last = F.greatest(F.col("bytes") - 1, F.lit(0))
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(split_bytes).cast("long"))).alias("start"))
-    dealt = ranges.repartition("path", "start")
+    n = manifest.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0))).first()[0]
+    dealt = ranges.repartition(max(1, min(int(n), MOST_TASKS)), "path", "start")  # a given number: the rows are few bytes, what they stand for is not
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
