@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremor.llm import jaccard, langid, mixing, mtree, packing, quality, secretscan, suffix, warc, webp
+from tremor.llm import jaccard, langid, merges, mixing, mtree, packing, periodic, quality, secretscan, spelling, suffix, warc, webp
 from tremor.llm.common import documents
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,19 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_warc": op3_warc, "op4_jaccard": op4_jaccard, "op5_topk": op5_topk, "op6_mix": op6_mix, "op7_media": op7_media, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_repeats": op10_repeats}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.vocabulary(spelling.slipped(spelling.letter_runs(documents(spark, sf_dir)))))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merges.id_digests(merges.encoded(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(periodic.repeated_tails(documents(spark, sf_dir))))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_pack": op2_pack, "op3_warc": op3_warc, "op4_jaccard": op4_jaccard, "op5_topk": op5_topk, "op6_mix": op6_mix, "op7_media": op7_media, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_repeats": op10_repeats, "op11_spelling": op11_spelling, "op12_sentencepiece": op12_sentencepiece, "op13_runs": op13_runs}
 OP5_SQL = """
 WITH usable AS (
     SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -95,4 +107,38 @@ SELECT s.doc_id, s.n_shingles, r.component_id
 FROM sizes s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) r USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_jaccard": OP4_SQL, "op5_topk": OP5_SQL}
+#: The checksum by a table of 256 numbers made from its polynomial; near words by what is left of them without one place.
+OP11_SQL = """
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) g(i)
+), occurrences AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents
+), named AS (
+    SELECT w, count(*) AS c, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS k FROM occurrences GROUP BY doc_id, w
+), bytes AS (
+    SELECT w, c, flatten(list_transform(string_split(k, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(x) - 64] END)) AS b FROM named
+), summed AS (
+    SELECT w, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda s, x: xor(s >> 8, t[xor(s & 255, x) + 1])), 4294967295) AS h FROM bytes, crc_table
+), words AS (
+    SELECT word, CAST(sum(c) AS BIGINT) AS n
+    FROM (SELECT CASE WHEN h % 31 = 0 THEN w[1 : h % len(w)] || w[h % len(w) + 2 :] ELSE w END AS word, c FROM summed)
+    WHERE len(word) >= 7 GROUP BY 1 HAVING sum(c) >= 2
+), cut AS (
+    SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(n) AS most, min(struct_pack(n := -n, w := encode(other))) AS b FROM near GROUP BY 1
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN decode(b.w) END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)
+), chain AS (
+    SELECT word, form, 1 AS step FROM formed WHERE form IS NOT NULL
+    UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN formed f ON f.word = c.form WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, coalesce(r.root, f.word) AS root, n, n_near, form_n
+FROM formed f LEFT JOIN (SELECT word, max_by(form, step) AS root FROM chain GROUP BY 1) r USING (word)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_jaccard": OP4_SQL, "op5_topk": OP5_SQL, "op11_spelling": OP11_SQL}
