@@ -34,6 +34,19 @@ CMES_SQL = """cmes AS (
     SELECT event_id AS id, epoch_us(ts) // 1000 AS time_ms, event_id % 2 = 0 AS glancing, event_id % 3 = 0 AS minor FROM events WHERE event_type = 'signup')"""
 
 
+TRACKS_SQL = """tracks AS (
+    SELECT user_id, event_id, ((user_id * 37) % 121 - 60) + ((event_id * 7) % 21 - 10) / 20.0 AS latitude, ((user_id * 97) % 359 - 179) + ((event_id * 13) % 21 - 10) / 20.0 AS longitude FROM events)"""
+
+TRENCH_SQL = """trench AS (
+    SELECT event_id, 'S' || ((event_id // 400) % 7) AS slab, -50 + (event_id % 400) * 0.2 AS latitude, ((event_id // 400) * 37) % 300 - 160 + (event_id % 400) * 0.1 + ((event_id // 97) % 3) * 3.5 AS longitude, (event_id * 53) % 360 AS azimuth
+    FROM events)"""
+
+STEPS_SQL = """steps AS (
+    SELECT event_id, 'B' || (event_id // 50) AS boundary, ['SUB', 'OCB', 'CCB', 'OSR', 'CRB', 'OTF', 'CTF'][(event_id // 6) % 7 + 1] AS cls, ((event_id * 7) % 1600) / 10.0 - 80 AS start_latitude, ((event_id * 11) % 3600) / 10.0 - 180 AS start_longitude,
+        (((event_id + 1) * 7) % 1600) / 10.0 - 80 + CASE WHEN event_id % 11 = 0 THEN 0.01 WHEN event_id % 13 = 0 THEN 5e-7 ELSE 0 END AS end_latitude, (((event_id + 1) * 11) % 3600) / 10.0 - 180 AS end_longitude
+    FROM events)"""
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -72,6 +85,35 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("year").count().selectExpr("year", "case when year % 2 = 0 then 4.5D else 5.5D end as min_magnitude", "`count` as event_count")
 
 
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as the vertices of a line."""
+    return _events(spark, sf_dir).selectExpr("user_id", "event_id", "((user_id * 37) % 121 - 60) + ((event_id * 7) % 21 - 10) / 20.0D as latitude", "((user_id * 97) % 359 - 179) + ((event_id * 13) % 21 - 10) / 20.0D as longitude")
+
+
+def trench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as points of trenches, in the order of their ids: a slab for every 400, a jump after every 97."""
+    return _events(spark, sf_dir).selectExpr(
+        "event_id",
+        "concat('S', (event_id div 400) % 7) as slab",
+        "-50 + (event_id % 400) * 0.2D as latitude",
+        "((event_id div 400) * 37) % 300 - 160 + (event_id % 400) * 0.1D + ((event_id div 97) % 3) * 3.5D as longitude",
+        "(event_id * 53) % 360 as azimuth",
+    )
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps of boundaries; most end where the next starts, some nearly, some not."""
+    return _events(spark, sf_dir).selectExpr(
+        "event_id",
+        "concat('B', event_id div 50) as boundary",
+        "array('SUB', 'OCB', 'CCB', 'OSR', 'CRB', 'OTF', 'CTF')[cast((event_id div 6) % 7 as int)] as cls",
+        "((event_id * 7) % 1600) / 10.0D - 80 as start_latitude",
+        "((event_id * 11) % 3600) / 10.0D - 180 as start_longitude",
+        "(((event_id + 1) * 7) % 1600) / 10.0D - 80 + case when event_id % 11 = 0 then 0.01D when event_id % 13 = 0 then 5e-7D else 0 end as end_latitude",
+        "(((event_id + 1) * 11) % 3600) / 10.0D - 180 as end_longitude",
+    )
+
+
 def flares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).where("event_type = 'purchase'").selectExpr(
         "event_id as id",
@@ -106,3 +148,24 @@ def segments_values() -> str:
         for a, b in zip(pts, pts[1:] or pts):
             rows.append(f"({line}, '{pair}', '{cls}', {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)")
     return "segs(line, pair, cls, ax, ay, bx, b_y) AS (VALUES " + ", ".join(rows) + ")"
+
+
+EPOCHS = [1900.0 + 5 * k for k in range(26)]
+
+
+def coefficient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the text of a coefficient table: a header, a comment, and a line of ragged columns for each of 195 coefficients.
+
+    Coefficient i = 1, 2, ... has degree n = floor(sqrt(i)); the first of a degree is g of order 0, then g and h of each order.
+    """
+    from pyspark.sql import functions as F
+
+    width = len(EPOCHS)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey + 1 as i", "cast(round(p_retailprice * 100) as bigint) % 2000000 as cents", "p_size").where("i <= 195").selectExpr("i", "cast(floor(sqrt(i)) as bigint) as n", "cents", "p_size")
+    value = f"cast((cents div (n * n) - 1000000 div (n * n) + case when k < {width} then k else 0 end * (p_size % 11) * 100 - case when k = {width} then 700 else 0 end) / 100.0 as decimal(14, 2))"
+    spaced = f"array_join(transform(sequence(0, {width}), k -> concat(repeat(' ', 1 + cast(k % 3 as int)), cast({value} as string))), ' ')"
+    kind, order = "case when i - n * n = 0 or (i - n * n) % 2 = 1 then 'g' else 'h' end", "(i - n * n + 1) div 2"
+    rows = parts.selectExpr(f"concat({kind}, '  ', n, ' ', {order}, {spaced}, '  ') as value")
+    head = "g/h n m " + " ".join(map(str, EPOCHS)) + " 2025-30"
+    top = parts.agg(F.count("*").alias("c")).select(F.explode(F.array(F.concat(F.lit("# "), "c", F.lit(" coefficients")), F.lit(head))).alias("value"))
+    return top.unionByName(rows)
