@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import broadcast_if_small, discarding, map_arrow, stage
+from tremor.llm.common import discarding, map_arrow, stage
+from tremor.llm.suffix import Seen, bitmap
 
 #: Latin letters with those of Latin-1: the proven bound of the observed alphabet is 26 + 64 letters.
 RUN = "[A-Za-zÀ-ÿ]+"
@@ -116,14 +117,17 @@ def hashed(vocab: DataFrame) -> DataFrame:
     return map_arrow(vocab.select("id", "word"), run, "h long, id long")
 
 
-def candidates(vocab: DataFrame, alphabet: list[str]) -> DataFrame:
-    """(h, id, edit): every distinct deletion, replacement and insertion over the alphabet."""
+def candidates(vocab: DataFrame, alphabet: list[str], seen: Seen) -> DataFrame:
+    """(h, id, edit): of all distinct deletions, replacements and insertions over the alphabet those that the bitmap may hold."""
     letters = np.array(sorted(map(ord, alphabet)), dtype=np.int64)
+    shared = vocab.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b["id"].to_numpy()
             for word, h, edit in edits(b["word"].to_pylist(), letters):
+                may = shared.value.has(h)
+                word, h, edit = word[may], h[may], edit[may]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[word]), pa.array(edit)], names=["h", "id", "edit"])
 
     return map_arrow(vocab.select("id", "word"), run, "h long, id long, edit long")
@@ -132,16 +136,17 @@ def candidates(vocab: DataFrame, alphabet: list[str]) -> DataFrame:
 def near_words(vocab: DataFrame) -> DataFrame:
     """(id, other): each pair of words of a vocabulary (id, word) that are one edit apart, in both directions, once each.
 
-    The vocabulary's hashes are broadcast where its counted words are few, so that candidates are not shuffled; beyond that
-    both sides are shuffled by hash. An adverse set of words can only make unequal strings meet, which the comparison drops.
+    A bitmap of the vocabulary's hashes, of 64 MB at most, goes to the tasks, so that few candidates are shuffled that find nothing;
+    beyond some tens of millions of words it only lets more of them through. An adverse set of words can only make unequal
+    strings meet, which the comparison drops.
     """
     words = vocab.count()
     alphabet = [r[0] for r in vocab.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()]  # 90 at most
     if not alphabet:
         return vocab.sparkSession.createDataFrame([], "id long, other long")
     dealt = vocab.repartition(max(1, -(-words // WORDS_PER_TASK)), "id")
-    known = hashed(vocab).withColumnRenamed("id", "other")
-    met = candidates(dealt, alphabet).join(broadcast_if_small(known, words), "h").select("id", "edit", "other")
+    known = stage(hashed(vocab).withColumnRenamed("id", "other"), "hashes", keep=True)
+    met = candidates(dealt, alphabet, bitmap(known, "h", words)).join(known, "h").select("id", "edit", "other")
     spelt = met.join(vocab.select("id", "word"), "id").join(vocab.select(F.col("id").alias("other"), F.col("word").alias("found")), "other")
     kind, at = F.floor(F.col("edit") / 256) % 3, F.floor(F.col("edit") / 768).cast("int")
     made = F.concat(
