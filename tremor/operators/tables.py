@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir (in local mode a temporary folder where that is unset), read back: lineage ends here."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in spark.checkpoint.dir (in local mode in a temporary folder where that is unset) that nothing has used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = base or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tremor-"))
-    path = f"{base.rstrip('/')}/tremor-{uuid.uuid4().hex}/{label}"
+    return f"{base.rstrip('/')}/tremor-{uuid.uuid4().hex}/{label}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as Parquet in a new folder, read back: lineage ends here."""
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,10 +12,11 @@ GEOJSON = "struct<features:array<struct<id:string,properties:struct<mag:double,m
 EMSC = "struct<features:array<struct<properties:struct<unid:string,time:string,lastupdate:string,mag:double,magtype:string,flynn_region:string,lat:double,lon:double,depth:double>>>>"
 
 
-def usgs_events(raw: DataFrame, body: str = "value") -> DataFrame:
-    """Feature collections to events; an unknown depth stays null."""
-    f = raw.select(F.explode(F.from_json(body, GEOJSON)["features"]).alias("f")).select("f.id", "f.properties.*", F.col("f.geometry.coordinates").alias("c"))
+def usgs_events(raw: DataFrame, body: str = "value", *kept: str) -> DataFrame:
+    """Feature collections to events, with columns of the raw rows that are to be kept; an unknown depth stays null."""
+    f = raw.select(*kept, F.explode(F.from_json(body, GEOJSON)["features"]).alias("f")).select(*kept, "f.id", "f.properties.*", F.col("f.geometry.coordinates").alias("c"))
     return f.select(
+        *kept,
         F.col("id").alias("event_id"), F.lit("usgs").alias("source"), F.coalesce("mag", F.lit(0.0)).alias("magnitude"), F.coalesce("magType", F.lit("unknown")).alias("magnitude_type"),
         F.coalesce("place", F.lit("Unknown location")).alias("place"), F.timestamp_millis("time").alias("time_utc"), F.timestamp_millis("updated").alias("updated_utc"), F.get("c", F.lit(0)).alias("longitude"), F.get("c", F.lit(1)).alias("latitude"),
         F.get("c", F.lit(2)).alias("depth_km"), "status", (F.coalesce("tsunami", F.lit(0)) == 1).alias("tsunami"), F.col("alert").alias("alert_level"), F.col("sig").alias("significance"), "url",

@@ -47,6 +47,11 @@ STEPS_SQL = """steps AS (
     FROM events)"""
 
 
+ARCHIVED_SQL = """archived AS (
+    SELECT o_orderkey, epoch_ms(o_orderdate) AS time_ms, (40 + (o_orderkey * 37) % 45) / 10.0 AS magnitude, (o_orderkey * 7) % 1800 / 10.0 - 90 AS latitude, (o_custkey * 11) % 3600 / 10.0 - 180 AS longitude, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderkey % 600 END AS depth_km
+    FROM orders)"""
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -114,6 +119,24 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mirror(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Orders as the features of an archive, written by year under root."""
+    from pyspark.sql import functions as F
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey",
+        "unix_micros(cast(o_orderdate as timestamp)) div 1000 as time_ms",
+        "(40 + (o_orderkey * 37) % 45) / 10.0D as magnitude",
+        "(o_orderkey * 7) % 1800 / 10.0D - 90 as latitude",
+        "(o_custkey * 11) % 3600 / 10.0D - 180 as longitude",
+        "cast(case when o_orderkey % 17 = 0 then null else o_orderkey % 600 end as double) as depth_km",
+    )
+    properties = F.struct(F.col("magnitude").alias("mag"), F.col("time_ms").alias("time"), (F.col("time_ms") + 300_000).alias("updated"), F.lit("reviewed").alias("status"))
+    feature = F.struct(F.concat(F.lit("o"), "o_orderkey").alias("id"), properties.alias("properties"), F.struct(F.array("longitude", "latitude", "depth_km").alias("coordinates")).alias("geometry"))
+    rows = o.select("time_ms", "magnitude", F.to_json(feature).alias("feature"), F.year(F.timestamp_millis("time_ms")).alias("year"))
+    rows.repartition("year").write.partitionBy("year").parquet(root)
+
+
 def flares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).where("event_type = 'purchase'").selectExpr(
         "event_id as id",
