@@ -77,7 +77,8 @@ def hash_draws(pool: DataFrame, n: int, iterations: int, seed: int) -> DataFrame
     """(iter, idx): n hours without replacement in each iteration, those of least md5; the same in any engine.
 
     Only hashes below a bound that some more than n of the hours fall under are ordered; an iteration in which fewer do, which
-    chance hardly ever brings about, is drawn again from all hours. So rows grow with the draws, not with the pool.
+    chance hardly ever brings about, is drawn again from all hours. So the rows that are ordered and kept grow with the draws; hashing
+    itself is work for every hour and iteration.
     """
     hours = pool.count()
     order = F.md5(F.concat_ws(":", F.lit(seed), "iter", "idx").cast("binary"))
@@ -283,12 +284,15 @@ def d_plus_null_by_hash(pool: DataFrame, triggers: DataFrame, targets: DataFrame
 
 
 def d_plus_null_by_numpy(pool: DataFrame, triggers: DataFrame, targets: DataFrame, reference: DataFrame, a_hours: int, b_hours: int, iterations: int, seed: int, most_rows: int = 4_000_000) -> DataFrame:
-    """The same null by numpy in tasks of iterations: hours, antipodes and targets (counted first) go to every executor."""
+    """The same null with numpy's draws, in tasks of iterations: hours, antipodes and targets (counted first) go to every executor.
+
+    Beyond most_rows of them it refuses: d_plus_null_by_hash is the one to use there, with other draws.
+    """
     n, hours = triggers.count(), pool.count()
     if n > hours:
         raise ValueError("more draws than hours")
     if max(hours, targets.count()) > most_rows:
-        return d_plus_null_by_hash(pool, triggers, targets, reference, a_hours, b_hours, iterations, seed)
+        raise ValueError("too many rows for numpy's draws; use mode hash")
     la, lo = geo.antipode("latitude", "longitude")
     times = pool.orderBy("idx").select("time_ms").toPandas()["time_ms"].to_numpy()
     anti = np.radians(triggers.orderBy("time_ms", "event_id").select(la, lo).toPandas().to_numpy(dtype=float))

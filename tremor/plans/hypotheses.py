@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from functools import reduce
 
@@ -29,6 +30,7 @@ class Parameters:
     q: float = K.FALSE_DISCOVERY_RATE
     mode: str = "hash"
     lags: tuple[tuple[int, int], ...] = field(default=())
+    keep_null: Callable[[str, DataFrame], None] | None = None  # is given each test's null (iter, ratio)
 
     @classmethod
     def of(cls, **given) -> Parameters:
@@ -69,7 +71,16 @@ def _nulls(tables: dict, n: int, p: Parameters):
 def _with_p(row: DataFrame, null: DataFrame, p: Parameters) -> DataFrame:
     if p.hypothesis == "H1b":
         null = null.withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
-    return row.join(F.broadcast(stats.p_value(null, row.first()["ratio"] or 0.0, p.iterations)))
+    return _p_of(row, null, p)
+
+
+def _p_of(row: DataFrame, null: DataFrame, p: Parameters, statistic: str = "ratio") -> DataFrame:
+    """The row of a test with its p against a null; the null is handed to whoever keeps it."""
+    first = row.first()
+    if p.keep_null is not None:
+        null = written(null, "null")
+        p.keep_null(first["test_id"], null)
+    return row.join(F.broadcast(stats.p_value(null, first[statistic] or 0.0, p.iterations)))
 
 
 def series_test(targets: DataFrame, series: DataFrame, p: Parameters, name: str, value: str, threshold: float, above: bool, least_hours: int, with_null: bool = True) -> list[DataFrame]:
@@ -124,13 +135,13 @@ def h2b(events: DataFrame, arrivals: DataFrame, p: Parameters, with_null: bool =
     for a, b in p.lags:
         real = stats.hemisphere_ratio(arrivals, targets, a, b).select(F.lit(f"H2b/direct-impact/{a}-{b}h").alias("test_id"), "near", "far", "ratio")
         if with_null:
-            first, n = real.first(), arrivals.count()
+            n = arrivals.count()
             near = F.col("near_hit").cast("int")
             pairs = stats.hemisphere_pairs(pool, targets, a, b).withColumn("near_hit", stats.geo.within_degrees("longitude", "sub_lon", K.HEMISPHERE_DEGREES))
             table = pairs.groupBy("t_ms").agg(F.sum(near).alias("observed"), F.sum((1 - near).cast("double")).alias("expected"))
             table = pool.join(table, pool["time_ms"] == table["t_ms"], "left").select("idx", F.coalesce("observed", F.lit(0)).alias("observed"), F.coalesce("expected", F.lit(0.0)).alias("expected"))
             null = (stats.null_by_numpy if p.mode == "numpy" else stats.null_by_hash)(written(table, "hours"), n, p.iterations, K.SEEDS["H2b"])
-            real = real.join(F.broadcast(stats.p_value(null, first["ratio"] or 0.0, p.iterations)))
+            real = _p_of(real, null, p)
         rows.append(real)
     return adjusted(rows, p, with_null)
 
@@ -151,7 +162,7 @@ def h5(events: DataFrame, p: Parameters, with_null: bool = True) -> DataFrame:
     if with_null:
         draw = stats.d_plus_null_by_numpy if p.mode == "numpy" else stats.d_plus_null_by_hash
         null = draw(every_hour(events.sparkSession, p), triggers, targets, reference, a, b, p.iterations, K.SEEDS["H5"])
-        row = row.join(F.broadcast(stats.p_value(null.withColumnRenamed("d_plus", "ratio"), row.first()["d_plus"], p.iterations)))
+        row = _p_of(row, null.withColumnRenamed("d_plus", "ratio"), p, "d_plus")
     return adjusted([row], p, with_null)
 
 

@@ -57,7 +57,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quakes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).selectExpr(
+    return quakes_of(_events(spark, sf_dir))
+
+
+def quakes_of(events: DataFrame, *kept: str) -> DataFrame:
+    """Events, in a table or a stream, as quakes."""
+    return events.selectExpr(
+        *kept,
         "event_id",
         "unix_micros(cast(ts as timestamp)) div 1000 as time_ms",
         "(45 + (cast(round(value * 100) as bigint) div 1150)) / 10.0D as magnitude",
