@@ -29,9 +29,10 @@ def test_neighbours_and_sums_in_slots(spark, width):
     got = ordered.neighbour(slots, ["k"], ["i"], ["v", "i"], "before")
     after = {(r.k, r.i): r.after for r in ordered.neighbour(slots, ["k"], ["i"], ["v", "i"], "after", after=True).collect()}
     sums = {(r.k, r.i): r.total for r in ordered.running_sum(slots, ["k"], ["i"], F.col("v"), "total").collect()}
-    for k in ("a", "b"):
+    assert got.count() == len(rows) == len(sums)
+    for k in ("a", "b", None):
         mine = sorted(r for r in rows if r[0] == k)
-        found = {r.i: r.before for r in got.where(F.col("k") == k).collect()}
+        found = {r.i: r.before for r in got.where(F.col("k").eqNullSafe(k)).collect()}
         for at, (_, i, _) in enumerate(mine):
             assert (tuple(found[i]) if found[i] else None) == ((mine[at - 1][2], mine[at - 1][1]) if at else None)
             assert (tuple(after[k, i]) if after[k, i] else None) == ((mine[at + 1][2], mine[at + 1][1]) if at + 1 < len(mine) else None)

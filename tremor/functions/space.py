@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,12 @@ def boundary_radius(standoff: Column, flaring: Column, theta: Column) -> Column:
     """Distance to the boundary at an angle from the sunward line; infinite straight away from the sun."""
     opening = 1 + F.cos(theta)
     return F.when(opening <= 0, F.lit(float("inf"))).otherwise(standoff * F.pow(2 / F.when(opening > 0, opening), flaring))
+
+
+def profile(shape: Column, max_degrees: float = 120.0, steps: int = 60) -> Column:
+    """The boundary of a magnetopause() struct as an array of (step, theta, radius_re), from the sunward line to at most 179 degrees."""
+    top = math.radians(min(max_degrees, 179.0))
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(steps)),
+        lambda k: F.struct(k.alias("step"), (top * k / steps).alias("theta"), boundary_radius(shape["standoff_re"], shape["flaring"], top * k / steps).alias("radius_re")),
+    )

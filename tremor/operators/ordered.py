@@ -1,30 +1,39 @@
 """Neighbours and running sums along an order, in slots of it: no key's rows are ordered in one task, however many it has.
 
-Rows are numbered by slots of `width` of the order's values; within a slot a window does the work, and between slots one row a
-slot is carried. With `width` near the square root of the rows, both parts grow with that root.
+Rows are in slots of the order's values; within a slot a window does the work, and between slots one row a slot is carried. With
+the number of slots near the square root of the rows, both parts grow with that root.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.operators.tables import written
 
 
-def in_slots(df: DataFrame, order: str, width: float) -> DataFrame:
-    """df with `_slot`, staged: it is read more than once."""
-    return written(df.withColumn("_slot", F.floor(F.col(order) / width).cast("long")), "slots")
+def slotted(df: DataFrame, order: str) -> DataFrame:
+    """df, staged, with `_slot`: about as many slots as a slot has rows, for orders that are spread evenly; nulls have one of their own."""
+    staged = written(df, "slots")
+    a = staged.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count(order).alias("n")).first()
+    return in_slots(staged, order, max((a.b - a.a) / max(1.0, a.n**0.5), 1.0) if a.n else 1.0)
+
+
+def in_slots(staged: DataFrame, order: str, width: float) -> DataFrame:
+    return staged.withColumn("_slot", F.coalesce(F.floor(F.col(order) / width).cast("long"), F.lit(-(1 << 62))))
 
 
-def slot_width(df: DataFrame, order: str) -> float:
-    """A width that puts about as many rows in a slot as there are slots, for orders that are spread evenly."""
-    a = df.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n")).first()
-    return max((a.b - a.a) / max(1.0, a.n**0.5), 1.0) if a.n else 1.0
+def _met(rows: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with its slot's; null keys are keys too."""
+    other = slots.withColumnsRenamed({k: f"_{k}_of_slot" for k in [*keys, "_slot"]})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}_of_slot")) for k in [*keys, "_slot"]))
+    return rows.join(other, same).drop(*(f"_{k}_of_slot" for k in [*keys, "_slot"]))
 
 
 def neighbour(slots: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str, *, after: bool = False) -> DataFrame:
-    """slots (of in_slots) with `name`, a struct of the columns in the row before (or after) in the same key; null at the ends.
+    """slots (of slotted) with `name`, a struct of the columns in the row before (or after) in the same key; null at the ends.
 
     The slots' edge rows give what lies across a border, also over empty slots.
     """
@@ -35,8 +44,7 @@ def neighbour(slots: DataFrame, keys: list[str], order: list[str], columns: list
     inside = slots.withColumns({name: shift(value).over(slot.orderBy(*near)), "_edge": last if after else first})
     edges = slots.withColumn("_given", first if after else last).where("_given").select(*keys, "_slot", value.alias("_v"))
     border = edges.select(*keys, "_slot", shift("_v").over(Window.partitionBy(*keys).orderBy("_slot")).alias("_across"))
-    met = inside.join(border, [*keys, "_slot"])
-    return met.withColumn(name, F.when(F.col("_edge"), F.col("_across")).otherwise(F.col(name))).drop("_edge", "_across")
+    return _met(inside, border, keys).withColumn(name, F.when(F.col("_edge"), F.col("_across")).otherwise(F.col(name))).drop("_edge", "_across")
 
 
 def running_sum(slots: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
@@ -46,4 +54,4 @@ def running_sum(slots: DataFrame, keys: list[str], order: list[str], value: Colu
     sums = staged.groupBy(*keys, "_slot").agg(F.sum("_x").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*keys, "_slot", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_c"))
-    return inside.join(carried, [*keys, "_slot"]).withColumn(name, F.col("_in") + F.col("_c")).drop("_x", "_in", "_c")
+    return _met(inside, carried, keys).withColumn(name, F.col("_in") + F.col("_c")).drop("_x", "_in", "_c")

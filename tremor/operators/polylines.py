@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tremor import constants as K
 from tremor.functions import geo
-from tremor.operators.ordered import in_slots, neighbour, running_sum, slot_width
+from tremor.operators.ordered import neighbour, running_sum, slotted
 from tremor.operators.tables import written
 
 MAX_CHORD_KM = 50.0
@@ -23,7 +23,7 @@ MOTION = {"SUB": "convergent", "OCB": "convergent", "CCB": "convergent", "OSR":
 
 def segments(vertices: DataFrame, line: str, order: str) -> DataFrame:
     """vertices (line, order, latitude, longitude, ...) with `next`, the following vertex of the line, and `km` to it; null at ends."""
-    slots = in_slots(vertices, order, slot_width(vertices, order))
+    slots = slotted(vertices, order)
     met = neighbour(slots, [line], [order], ["latitude", "longitude"], "next", after=True).drop("_slot")
     return met.withColumn("km", F.when(F.col("next").isNotNull(), geo.haversine_km("latitude", "longitude", "next.latitude", "next.longitude")))
 
@@ -84,7 +84,7 @@ def line_runs(points: DataFrame, order: str, same: list[str], breaks: Column, ca
 
     `breaks` sees the row before as `before`, a struct of the columns `same` and `carry`.
     """
-    slots = in_slots(points, order, slot_width(points, order))
+    slots = slotted(points, order)
     met = neighbour(slots, [], [order], [*same, *carry], "before")
     starts = F.col("before").isNull() | breaks
     for c in same:
@@ -113,7 +113,7 @@ def merge_steps(steps: DataFrame, order: str, same: list[str], step_class: str,
     runs = line_runs(steps, order, same, apart, ["end_latitude", "end_longitude"]).drop("before", "starts")
     known = F.create_map(*(F.lit(x) for kv in MOTION.items() for x in kv))
     motion = F.coalesce(known[F.col(step_class)], F.raise_error(F.concat(F.lit("class without a motion: "), F.coalesce(F.col(step_class), F.lit("null")))).cast("string"))
-    slots = in_slots(runs.withColumn("motion", motion), order, slot_width(runs, order))
+    slots = slotted(runs.withColumn("motion", motion), order)
     counted = running_sum(slots, ["run"], [order], F.lit(1).cast("long"), "number").drop("_slot")
     kept = [F.col("run").alias("chain"), "motion", *same]
     end = counted.select(*kept, "number", F.col("end_latitude").alias("latitude"), F.col("end_longitude").alias("longitude"))
@@ -123,7 +123,7 @@ def merge_steps(steps: DataFrame, order: str, same: list[str], step_class: str,
 
 def along(points: DataFrame, run: str, order: str, km: str = "km") -> DataFrame:
     """points with `along_km`, the length of their run up to them."""
-    slots = in_slots(points, order, slot_width(points, order))
+    slots = slotted(points, order)
     return running_sum(slots, [run], [order], F.col(km), "along_km").drop("_slot")
 
 
@@ -175,7 +175,7 @@ def marks(points: DataFrame, run: str, order: str, spacing_km: float = TOOTH_SPA
     The length up to each point gives the marks of the step that ends there as a sequence of multiples.
     """
     placed = along(points, run, order)
-    slots = in_slots(placed, order, slot_width(placed, order))
+    slots = slotted(placed, order)
     met = neighbour(slots, [run], [order], ["latitude", "longitude", "along_km"], "from").where("from is not null")
     low = F.floor(F.col("from.along_km") / spacing_km + 0.5).cast("long")
     high = F.floor(F.col("along_km") / spacing_km + 0.5).cast("long") - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremor import constants as K
-from tremor.functions import geo
+from tremor.functions import geo, space
 from tremor.functions import views as V
 from tremor.operators import match as M
 from tremor.operators import scan
@@ -108,23 +108,28 @@ def great_circle_step(spark, d):
 WINDOW_ROWS = "(24, 1.0), (48, 1.0), (72, 1.0), (168, 1.0), (720, 2.5), (8766, 4.5), (87660, 5.5), (1139580, 5.5)"
 
 
-@query(f"""WITH w(hours, least) AS (VALUES {WINDOW_ROWS}), f(m) AS (VALUES (1.0), (2.5), (4.5), (5.5), (6.0), (7.0))
+@query(f"""WITH {QUAKES_SQL}, w(hours, least) AS (VALUES {WINDOW_ROWS}), f(m) AS (VALUES (1.0), (2.5), (4.5), (5.5), (6.0), (7.0)), x AS (
 SELECT CAST(hours AS BIGINT) AS hours, CAST(least AS DOUBLE) AS least_magnitude, (SELECT CAST(max(x.hours) AS BIGINT) FROM w x WHERE x.hours < w.hours) AS previous, (SELECT CAST(min(m) AS DOUBLE) FROM f WHERE m > least) AS next_floor, (SELECT count(*) FROM f WHERE m >= least) AS floors,
-    CAST({NOW} - CAST(coalesce((SELECT max(x.hours) FROM w x WHERE x.hours < w.hours), hours) AS BIGINT) * {HOUR} AS BIGINT) AS trail_start_ms FROM w""")
+    CAST({NOW} - CAST(coalesce((SELECT max(x.hours) FROM w x WHERE x.hours < w.hours), hours) AS BIGINT) * {HOUR} AS BIGINT) AS trail_start_ms FROM w)
+SELECT x.*, count(*) FILTER (time_ms BETWEEN {NOW} - x.hours * {HOUR} AND {NOW}) AS shown, count(*) FILTER (time_ms BETWEEN trail_start_ms AND {NOW}) AS trailed FROM x JOIN quakes ON magnitude >= least_magnitude GROUP BY ALL""")
 def display_windows(spark, d):
-    """Every offered window: what it holds, the one before it, the floors that make sense in it, and where its trail starts."""
+    """Every offered window: what it holds, the one before it, the floors that make sense in it, where its trail starts, and the events that it and its trail show."""
     w = spark.createDataFrame(V.windows(), "hours long, held double")
     start, _ = V.display_window(F.col("hours"), F.lit(None).cast("long"), F.lit(True), F.lit(NOW))
     least = V.least_magnitude(F.col("hours"))
     floors = F.size(F.filter(F.array(*[F.lit(m) for m in V.FLOORS]), lambda m: m >= least)).cast("long")
-    return w.select("hours", least.alias("least_magnitude"), V.previous_window(F.col("hours")).cast("long").alias("previous"), V.next_floor(least).alias("next_floor"), floors.alias("floors"), start.cast("long").alias("trail_start_ms"))
+    w = w.select("hours", least.alias("least_magnitude"), V.previous_window(F.col("hours")).cast("long").alias("previous"), V.next_floor(least).alias("next_floor"), floors.alias("floors"), start.cast("long").alias("trail_start_ms"))
+    each = X.quakes(spark, d).where(F.col("time_ms") <= NOW).join(F.broadcast(w), F.col("magnitude") >= F.col("least_magnitude"))  # eight windows
+    return each.groupBy(*w.columns).agg(F.count_if(F.col("time_ms") >= NOW - F.col("hours") * HOUR).alias("shown"), F.count_if(F.col("time_ms") >= F.col("trail_start_ms")).alias("trailed"))
 
 
-@query("WITH w(hours, least) AS (VALUES (24, 1.0), (48, 1.0), (72, 1.0), (168, 1.0), (720, 2.5)) SELECT CAST(least AS DOUBLE) AS min_magnitude, CAST(max(hours) AS BIGINT) AS window_hours FROM w GROUP BY 1")
+@query(f"""WITH {QUAKES_SQL}, w(hours, least) AS (VALUES (24, 1.0), (48, 1.0), (72, 1.0), (168, 1.0), (720, 2.5)), p AS (SELECT CAST(least AS DOUBLE) AS min_magnitude, CAST(max(hours) AS BIGINT) AS window_hours FROM w GROUP BY 1)
+SELECT p.*, count(*) AS fetched, round(max(magnitude), 6) AS largest FROM p JOIN quakes ON magnitude >= min_magnitude AND time_ms >= {NOW} - window_hours * {HOUR} AND time_ms <= {NOW} GROUP BY ALL""")
 def ingest_passes(spark, d):
-    """The fewest fetches that cover all live windows: the longest of each floor."""
-    w = spark.createDataFrame(V.WINDOWS, "hours long, min_magnitude double")
-    return w.groupBy("min_magnitude").agg(F.max("hours").alias("window_hours"))
+    """The fewest fetches that cover all live windows, the longest of each floor, with the events that each brings."""
+    p = spark.createDataFrame(V.WINDOWS, "hours long, min_magnitude double").groupBy("min_magnitude").agg(F.max("hours").alias("window_hours"))
+    hit = X.quakes(spark, d).join(F.broadcast(p), (F.col("magnitude") >= F.col("min_magnitude")) & (F.col("time_ms") >= NOW - F.col("window_hours") * HOUR) & (F.col("time_ms") <= NOW))
+    return hit.groupBy("min_magnitude", "window_hours").agg(F.count("*").alias("fetched"), F.round(F.max("magnitude"), 6).alias("largest"))
 
 
 @query(f"WITH {SERIES_SQL} SELECT time_ms, {NOW} - time_ms > 20 * 60000 AS aurora_stale, {NOW} - time_ms > 90 * 60000 AS tec_stale, time_ms >= {NOW} - 72 * {HOUR} AND time_ms < {NOW} AS in_range FROM series")
@@ -157,12 +162,14 @@ def tec_peak(spark, d):
     return rounded(feeds.tec_cells(points(spark, d)).agg(F.max("value").alias("peak")), "peak")
 
 
-AURORA_SQL = "pts AS (SELECT i AS longitude, j - 90 AS latitude, (i * 7 + j * 13) % 301 - 20.5 + (SELECT count(*) FROM region) AS value FROM range(360) a(i), range(181) b(j))"
+AURORA_SQL = "seen AS (SELECT (event_id * 7919) % 360 AS longitude, (event_id * 104729) % 181 - 90 AS latitude, max(value) - 20.5 AS value FROM events GROUP BY 1, 2), pts AS (SELECT i AS longitude, j - 90 AS latitude, coalesce(s.value, 0) AS value FROM range(360) a(i) CROSS JOIN range(181) b(j) LEFT JOIN seen s ON s.longitude = i AND s.latitude = j - 90)"
 
 
 def aurora_points(spark, d):
-    add = spark.read.parquet(f"{d}/region.parquet").count()
-    return spark.range(360).selectExpr("id as longitude").join(F.broadcast(spark.range(181).selectExpr("id - 90 as latitude"))).selectExpr("longitude", "latitude", f"(longitude * 7 + (latitude + 90) * 13) % 301 - 20.5D + {add} as value")
+    """A whole grid: the strongest event of each cell, 0 where there is none."""
+    seen = spark.read.parquet(f"{d}/events.parquet").selectExpr("(event_id * 7919) % 360 as longitude", "(event_id * 104729) % 181 - 90 as latitude", "value").groupBy("longitude", "latitude").agg((F.max("value") - 20.5).alias("value"))
+    cells = spark.range(360 * 181).selectExpr("id % 360 as longitude", "id div 360 - 90 as latitude")
+    return cells.join(seen, ["longitude", "latitude"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 @query(f"WITH {AURORA_SQL} SELECT CAST(90 - latitude AS INTEGER) AS row, CAST((longitude + 180) % 360 AS INTEGER) AS col, CAST(greatest(0, least(255, floor(value + 0.5))) AS INTEGER) AS value FROM pts")
@@ -235,3 +242,25 @@ def arrivals_open_end(spark, d):
     """Bounds are optional: here only the start is given and the end is now."""
     c = scan.half_open(X.cmes(spark, d), START_MS + 3 * DAY, NOW)
     return scan.coverage(c)
+
+
+@query(f"""WITH {QUAKES_SQL}, main AS (SELECT event_id AS main_id, time_ms AS t, -latitude AS la, CASE WHEN longitude >= 0 THEN longitude - 180 ELSE longitude + 180 END AS lo FROM quakes WHERE magnitude >= 6.0),
+hit AS (SELECT main_id, event_id, {hav('la', 'lo', 'latitude', 'longitude')} AS km FROM main JOIN quakes ON time_ms BETWEEN t + 1 AND t + 72 * {HOUR} AND magnitude >= 5.0 WHERE {hav('la', 'lo', 'latitude', 'longitude')} <= 1000),
+near AS (SELECT main_id, count(*) AS n, min(km) AS km, arg_min(event_id, (km, event_id)) AS id FROM hit GROUP BY 1)
+SELECT main_id, coalesce(n, 0) AS n, id AS nearest_id, round(km, 6) AS nearest_km, round(greatest(0, least(1, ({START_MS + 20 * DAY} - t) / (72.0 * {HOUR}))), 6) AS elapsed_fraction FROM main LEFT JOIN near USING (main_id)""")
+def antipodal_progress(spark, d):
+    """Every large event's antipodal window as it stands on the twentieth day."""
+    q = X.quakes(spark, d)
+    main = q.where("magnitude >= 6.0")
+    return rounded(Q.antipodal_summary(Q.antipodal(q, main), main, START_MS + 20 * DAY), "nearest_km", "elapsed_fraction")
+
+
+@query(f"""WITH {SERIES_SQL}, x AS (SELECT time_ms, dst / 20 AS bz, greatest(1.6726e-6 * kp * wind_speed * wind_speed, 0.01) AS p FROM series WHERE kp IS NOT NULL AND dst IS NOT NULL AND wind_speed IS NOT NULL),
+y AS (SELECT time_ms, (10.22 + 1.29 * tanh(0.184 * (bz + 8.14))) * pow(p, -1 / 6.6) AS r, (0.58 - 0.007 * bz) * (1 + 0.024 * ln(p)) AS a FROM x), z AS (SELECT *, unnest(range(61)) AS k FROM y)
+SELECT time_ms, CAST(k AS INTEGER) AS step, round(radians(120) * k / 60, 6) AS theta, round(r * pow(2 / (1 + cos(radians(120) * k / 60)), a), 6) AS radius_re FROM z""")
+def magnetopause_profiles(spark, d):
+    """The boundary's outline in every hour that has what it needs."""
+    x = X.series(spark, d).where("kp is not null and dst is not null and wind_speed is not null")
+    m = x.select("time_ms", space.magnetopause(F.col("dst") / 20, space.dynamic_pressure(F.col("kp"), F.col("wind_speed"))).alias("m"))
+    each = m.select("time_ms", F.explode(space.profile(F.col("m"))).alias("p"))
+    return rounded(each.select("time_ms", "p.step", "p.theta", "p.radius_re"), "theta", "radius_re")
