@@ -3,6 +3,7 @@ import random
 import zlib
 
 import pyarrow as pa
+import pytest
 
 from tremor.llm import warc
 from tremor.llm.common import new_path
@@ -55,6 +56,39 @@ def test_false_magic_and_damage():
         assert [r.split(b"page:")[1][:1] for r in found] == [b"0", b"1", b"2"]
 
 
+@pytest.mark.parametrize("how", ["flipped", "cut", "lost"])
+def test_damage_is_an_error(spark, how):
+    df = spark.createDataFrame([(k, "u", "x" * 50 + str(k)) for k in range(30)], "page_id long, url string, html string").coalesce(1)
+    m = warc.write(df, new_path(spark, "warc"))
+    (path, size, many), = [tuple(r) for r in m.collect() if r.bytes]
+    assert many == 30 and warc.read(m).count() == 30
+    name = path.removeprefix("file://")
+    with open(name, "rb") as f:
+        raw = bytearray(f.read())
+    if how == "flipped":
+        raw[raw.find(warc.MAGIC, size // 2) - 5] ^= 0xFF  # within the checksum of a record
+    else:
+        del raw[-20 if how == "cut" else raw.rfind(warc.MAGIC) :]
+    with open(name, "wb") as f:
+        f.write(raw)
+    given = spark.createDataFrame([(path, len(raw), many)], m.schema)
+    if how == "lost":
+        assert warc.read(given).count() == 29  # a whole record too few can be seen by the manifest's count alone
+        return
+    for split in (50, 1 << 20):
+        with pytest.raises(Exception, match="damaged or cut off|payload digest"):
+            warc.read(given, split_bytes=split).collect()
+
+
+def test_fewer_records_than_written_are_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "u", str(k)) for k in range(9)], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.archive(df, columns=["page_id"]).collect()) == list(range(9))
+    plain = warc.read
+    monkeypatch.setattr(warc, "read", lambda m, **k: plain(m, **k).where("page_id <> 4"))
+    with pytest.raises(RuntimeError, match="8 records were read of 9"):
+        warc.archive(df)
+
+
 def test_least_bytes_and_empty(spark):
     df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbb"), (4, "u", "bbbb")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.record_type) for r in warc.archive(df, least_bytes=3).collect()) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]

@@ -23,7 +23,7 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

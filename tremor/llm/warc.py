@@ -70,27 +70,27 @@ def write(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(to)
         store.create_dir(base, recursive=True)
-        sink, path, size, done = None, "", 0, []
+        sink, path, size, many, done = None, "", 0, 0, []
         for b in batches:
             columns = [b[c].to_pylist() for c in ("page_id", "url", "payload", "sha", "refers_to")]
             for page_id, url, raw, sha, refers_to in zip(*columns):
                 if sink is None:
                     path = f"{base}/{uuid.uuid4().hex}.warc.gz"
-                    sink, size = store.open_output_stream(path, compression=None), 0
+                    sink, size, many = store.open_output_stream(path, compression=None), 0, 0
                 record = member(page_id, url, raw, base64.b32encode(bytes.fromhex(sha)).decode(), refers_to)
                 sink.write(record)
-                size += len(record)
+                size, many = size + len(record), many + 1
                 if size >= file_bytes:
                     sink.close()
-                    done.append((path, size))
+                    done.append((path, size, many))
                     sink = None
         if sink is not None:
             sink.close()
-            done.append((path, size))
-        names = [f"{to}/{p.rsplit('/', 1)[1]}" for p, _ in done]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([s for _, s in done], pa.int64())], names=["path", "bytes"])
+            done.append((path, size, many))
+        names = [f"{to}/{p.rsplit('/', 1)[1]}" for p, _, _ in done]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([d[k] for d in done], pa.int64()) for k in (1, 2))], names=["path", "bytes", "records"])
 
-    return stage(map_arrow(known, run, "path string, bytes long"), "manifest")
+    return stage(map_arrow(known, run, "path string, bytes long, records long"), "manifest")
 
 
 class _Tail:
@@ -132,6 +132,9 @@ def _decoded(tail: _Tail, head: int | None = None) -> tuple[bytes, int] | None:
 def records(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, decoded record) of the members that start in [start, end) and decode to a WARC header.
 
+    Where a header decodes but the rest does not (a flipped byte, a file that was cut off), that is an error: a record that is
+    lost must not look like one that never was.
+
     A range that starts within a member goes on to the next candidate that decodes so. In archives of others a payload with
     whole gzip members of WARC records, stored uncompressed, could pass for records there; the texts that `write` stores
     cannot, since no UTF-8 holds the magic.
@@ -148,10 +151,12 @@ def records(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         if tail.at >= end:
             return
         head = _decoded(tail, 6)
-        whole = _decoded(tail) if head and head[0][:5] == b"WARC/" else None
-        if whole is None:
+        if not head or head[0][:5] != b"WARC/":
             tail.skip(1)
             continue
+        whole = _decoded(tail)
+        if whole is None:
+            raise ValueError(f"the record at {tail.at} is damaged or cut off")
         yield tail.at, whole[0]
         tail.skip(whole[1])
 
@@ -182,6 +187,12 @@ def read(manifest: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
         names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
+        def located(path: str, found: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+            try:
+                yield from found
+            except ValueError as e:
+                raise ValueError(f"{path}: {e}") from None
+
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
@@ -190,7 +201,7 @@ def read(manifest: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 store, name = fs.FileSystem.from_uri(path)
                 held, weight = [], 0
                 with store.open_input_file(name) as f:
-                    for _, raw in records(f, size, start, min(start + split_bytes, size)):
+                    for at, raw in located(path, records(f, size, start, min(start + split_bytes, size))):
                         h, body = _headers(raw)
                         body = body[: int(h["content-length"])]
                         http, payload = _headers(body)
@@ -199,7 +210,7 @@ def read(manifest: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                             held.append((_page(h["warc-record-id"]), h.get("warc-target-uri"), "revisit", _page(h.get("warc-refers-to")), int(http["content-length"]), said, None))
                         else:
                             if (found := digest_of(payload)) != said:
-                                raise ValueError(f"{path}: payload digest {found}, header says {said}")
+                                raise ValueError(f"{path} at {at}: payload digest {found}, header says {said}")
                             held.append((_page(h["warc-record-id"]), h.get("warc-target-uri"), "response", None, len(payload), found, payload))
                         weight += len(raw)
                         if weight >= 16 * CHUNK:
@@ -210,15 +221,21 @@ def read(manifest: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     return map_arrow(dealt, run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
-def archive(pages: DataFrame, *, id_col: str = "page_id", **more) -> DataFrame:
-    """Write all pages, read the archives back: one row a page.
+def archive(pages: DataFrame, *, id_col: str = "page_id", columns: list[str] | None = None, **more) -> DataFrame:
+    """Write all pages, read the archives back: one row a page, of all columns of read() or those asked for.
 
     Null html counts as empty; a null id stays null and is always a response; rows that repeat the smallest id of their
-    payload are responses all; an empty table gives no archive and an empty result.
+    payload are responses all; an empty table gives no archive and an empty result. Any other number of records than the
+    manifest counts is an error.
     """
     split = more.pop("split_bytes", SPLIT_BYTES)
     manifest = write(pages, new_path(pages.sparkSession, "warc"), id_col=id_col, **more)
-    return read(manifest, split_bytes=split)
+    rows = read(manifest, split_bytes=split)
+    found = stage(rows.select(*columns) if columns else rows, "records")
+    want, got = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.count()
+    if got != want:
+        raise RuntimeError(f"{got} records were read of {want} that were written")
+    return found
 
 
 __all__ = ["archive", "digest_of", "member", "read", "records", "write"]
