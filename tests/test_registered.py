@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tremor import constants as K
 from tremor.operators import stats
@@ -112,3 +113,17 @@ def test_bh_takes_every_part(spark):
     got = {r.test_id: r.p_adjusted for r in catalogue.QUERIES["bh_adjusted_all"](spark, SF).collect()}
     assert len(got) == len(parts) > 41
     assert all(abs(got[k] - want[i]) < 1e-6 for i, k in enumerate(parts))
+
+
+def test_lag_totals_equal_counts_by_lag(spark):
+    rng = random.Random(12)
+    rated = spark.createDataFrame([(rng.randrange(400) * K.HOUR_MS + rng.choice([0, 7]), rng.random()) for _ in range(60)], "time_ms long, rate double")
+    targets = spark.createDataFrame([(rng.randrange(500) * K.HOUR_MS,) for _ in range(200)], "time_ms long")
+    lags = ((0, 24), (24, 48), (72, 168))
+    got = stats.lag_totals(rated, targets, lags)
+    for a, b in lags:
+        want = stats.ratio_of(stats.lag_counts(rated, targets, a, b).withColumn("expected", F.col("rate") * (b - a))).first()
+        mine = got[a, b].first()
+        assert (mine.triggers, mine.observed) == (want.triggers, want.observed) and abs(mine.expected - want.expected) < 1e-9 and abs(mine.ratio - want.ratio) < 1e-9
+    empty = stats.lag_totals(rated.limit(0), targets, lags)[0, 24].first()
+    assert (empty.triggers, empty.observed, empty.expected, empty.ratio) == (0, 0, 0.0, None)

@@ -54,12 +54,18 @@ def segments(lines: DataFrame) -> DataFrame:
     return some.select("line", "seq", at(1).alias("ax"), at(2).alias("ay"), at(3).alias("bx"), at(4).alias("by"))
 
 
-def nearest_line(points: DataFrame, segs: DataFrame, key: str = "event_id", first_degrees: float = 3.0) -> DataFrame:
+GLOBE_SQUARE_DEGREES = 41_253
+
+
+def nearest_line(points: DataFrame, segs: DataFrame, key: str = "event_id", first_degrees: float | None = None) -> DataFrame:
     """The nearest line of each point; the first line wins ties.
 
     Points meet the segments that may be within some degrees, by cells of that size; a point whose nearest is closer than that
-    is done, the others try cells four times as large. A segment is in the cells that its box, widened by a cell, touches.
+    is done, the others try cells four times as large. A segment is in the cells that its box, widened by a cell, touches. The first
+    cells are as large as the share of the globe that falls to one segment, so most points are done at once and meet few segments.
     """
+    if first_degrees is None:
+        first_degrees = min(180.0, (GLOBE_SQUARE_DEGREES / max(1, segs.count())) ** 0.5)
     d = geo.segment_km("latitude", "longitude", "ax", "ay", "bx", "by")
     best = F.min(F.struct(d.alias("km"), F.col("line").alias("line")))
     left, done, degrees = points.select(key, "latitude", "longitude"), None, first_degrees

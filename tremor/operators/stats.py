@@ -33,6 +33,24 @@ def lag_counts(instants: DataFrame, targets: DataFrame, a_hours: int, b_hours: i
     return w.withColumn(name, F.col("_nb") - F.col("_na")).select(*instants.columns, name)
 
 
+def lag_totals(rated: DataFrame, targets: DataFrame, lags: tuple[tuple[int, int], ...]) -> dict[tuple[int, int], DataFrame]:
+    """ratio_of(lag_counts) for each lag of instants with their rate, from one count of the targets before every bound of any lag.
+
+    Sums over the instants are all that is needed, so the counts before two bounds are summed first and then subtracted.
+    """
+    bounds = sorted({x for lag in lags for x in lag})
+    at = rated.select("time_ms", F.explode(F.array(*map(F.lit, bounds))).alias("bound")).withColumn("_at", F.col("time_ms") + F.col("bound") * K.HOUR_MS)
+    counted = counts_before(at, targets.select(F.col("time_ms").alias("p")), "_at", "p", "_n", False).groupBy("bound").agg(F.sum("_n").alias("n"))
+    held = written(counted, "bounds")
+    totals = written(rated.agg(F.count("*").alias("triggers"), F.coalesce(F.sum("rate"), F.lit(0.0)).alias("rate")), "totals")
+    out = {}
+    for a, b in lags:
+        observed = held.agg(F.coalesce(F.sum(F.when(F.col("bound") == b, F.col("n")).when(F.col("bound") == a, -F.col("n"))), F.lit(0)).cast("long").alias("observed"))
+        both = totals.join(F.broadcast(observed)).select("triggers", "observed", (F.col("rate") * (b - a)).alias("expected"))
+        out[a, b] = both.withColumn("ratio", F.when(F.col("expected") > 0, F.col("observed") / F.col("expected")))
+    return out
+
+
 def hour_table(hours: DataFrame, targets: DataFrame, a_hours: int, b_hours: int, start_ms: int, end_ms: int, half_ms: int) -> DataFrame:
     """For every hour of a pool: what a trigger there would expect and observe. Nulls and observations both look up this table."""
     rated = local_rate(hours, targets, start_ms, end_ms, half_ms)

@@ -117,10 +117,8 @@ def h1b(events: DataFrame, flares: DataFrame, p: Parameters, with_null: bool = T
     big = flares.where(F.col("peak_ms").between(p.start_ms, p.end_ms - 1)).select(F.col("peak_ms").alias("time_ms"))
     rated = written(stats.local_rate(big, targets, p.start_ms, p.end_ms, p.half_ms), "rates")
     tables = stats.hour_tables(pool, targets, p.lags, p.start_ms, p.end_ms, p.half_ms) if with_null else {}
-    for a, b in p.lags:
-        seen = stats.lag_counts(rated, targets, a, b).withColumn("expected", F.col("rate") * (b - a))
-        real = stats.ratio_of(seen).select(F.lit(f"H1b/flare>=M1.0/{a}-{b}h").alias("test_id"), "triggers", "observed", "expected", "ratio")
-        rows.append(real)
+    for (a, b), real in stats.lag_totals(rated, targets, p.lags).items():
+        rows.append(real.select(F.lit(f"H1b/flare>=M1.0/{a}-{b}h").alias("test_id"), "triggers", "observed", "expected", "ratio"))
     if with_null:
         null = _nulls(tables, rows[0].first()["triggers"], p)
         rows = [_with_p(row, null(lag), p) for row, lag in zip(rows, p.lags)]
