@@ -114,3 +114,8 @@ def test_parameters_and_validation(spark):
         Parameters.of(hypothesis="H9", start_ms=0, end_ms=1)
     bad = spark.createDataFrame([(0, 91.0, 0.0, 5.0), (0, 0.0, 200.0, None)], "time_ms long, latitude double, longitude double, magnitude double")
     assert tuple(validate_catalog(bad).first()) == (1, 1, 1, 0)
+
+
+def test_distance_of_nothing_is_nothing(spark):
+    r = spark.range(1).select(geo.haversine_km(F.lit(None).cast("double"), 0.0, 0.0, 0.0).alias("a"), geo.haversine_km(0.0, 0.0, 0.0, 180.0).alias("b")).first()
+    assert r.a is None and abs(r.b - math.pi * 6371) < 1e-6
