@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tremor.plans import catalogue, displays  # noqa: F401  (displays adds its queries)
+from tremor.plans import archives, catalogue, displays, models, polylines, report, streams, tracks  # noqa: F401  (the others add their queries)
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
