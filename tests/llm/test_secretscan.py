@@ -113,5 +113,183 @@ def test_battery_matches_brute_force(spark):
             rows.append((name, (alphabet * 3)[:n]))
     for name, alphabet in secretscan.ALPHABETS.items():
         mine = [t for x, t in rows if x == name]
-        got = [r[0] for r in spark.createDataFrame([(t,) for t in mine], "t string").coalesce(1).select(secretscan._battery(F.col("t"), alphabet)).collect()]
+        got = [r[0] for r in spark.createDataFrame([(t,) for t in mine], "t string").coalesce(1).select(secretscan._battery(F.col("t"), F.lit(alphabet))).collect()]
         assert all(abs(g - brute_battery(t, alphabet)) < 0.002 for g, t in zip(got, mine)), name
+
+
+def falling(n):
+    """The non-rising density by its definition: the slope of the least concave curve above the running sums."""
+    sums = [0.0]
+    for x in n:
+        sums.append(sums[-1] + x)
+    out = []
+    for b in range(len(n)):
+        out.append(min(max((sums[j] - sums[i]) / (j - i) for j in range(b + 1, len(sums))) for i in range(b + 1)) / sums[-1])
+    return out
+
+
+def brute_thresholds(rows, q, letters):
+    """Cuts from (class, settings, p, run) by the definitions, the share by a search of its likelihood instead of by steps."""
+    from math import log
+
+    bins, out = secretscan.BINS, {}
+    for k in {r[0] for r in rows}:
+        once, recur, settings, alone = [0.0] * bins, [0.0] * bins, [0.0] * bins, [0.0] * bins
+        for c, m, p, _ in rows:
+            if c // 21 == k // 21:
+                (recur if m > 1 else once)[min(bins - 1, int(p * bins))] += 0.5 ** abs(c - k)
+                (settings if m > 1 else alone)[min(bins - 1, int(p * bins))] += m * (c == k)
+        pass_ = secretscan._unlike(letters, k)
+        for c, m, p, _ in rows:
+            if {c // 21, k // 21} == {1, 2} and m > 1:
+                recur[min(bins - 1, int(p * bins))] += 0.5 ** abs(c % 21 - k % 21)
+        most = lambda x, b: (min(sum(x[b:]), sum(x) * pass_[b]) if pass_[1] <= q else sum(x[b:])) if b < bins else 0
+        f, n = falling([most(recur, b) - most(recur, b + 1) + (b == 0) for b in range(bins)]), sum(once)
+        likelihood = lambda s: sum(x * log(s / bins + (1 - s) * g) for x, g in zip(once, f) if x)
+        share = max((i / 20000 for i in range(1, 20000)), key=likelihood)
+        for b in range(bins // 2):
+            accepted = sum(settings[b:]) + sum(alone[b:])
+            if accepted and most(settings, b) + (1 - share) * sum(alone) * sum(f[b:]) <= q * accepted:
+                out[k] = max(b / bins, 0.5 / bins)
+                break
+    return out
+
+
+def test_falling_density():
+    rng = random.Random(6)
+    for _ in range(50):
+        n = [1 + rng.randint(0, 5)] + [rng.randint(0, 9) for _ in range(11)]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(secretscan._falling(n), falling(n)))
+
+
+def test_thresholds_match_brute_force(spark):
+    """By class of encoding and length: 28 lower, 91 letters, 217 base62, 226 base62 of 32 and more."""
+    rng = random.Random(7)
+    rows = [(28, 2, rng.random() ** 2) for _ in range(60)] + [(28, 1, rng.random() ** 2) for _ in range(90)] + [(29, 1, rng.random()) for _ in range(5)] + [(49, 1, rng.random() ** 2) for _ in range(9)]
+    rows += [(217, 2, rng.random() ** 9) for _ in range(30)] + [(217, 1, rng.random() ** 9) for _ in range(40)] + [(217, 1, rng.random()) for _ in range(300)] + [(218, 1, rng.random()) for _ in range(50)]
+    rows += [(195, 900, 0.3), (195, 1, 0.8), (4 * 21 + 10, 7, 0.6), (12 * 21 + 9, 1, 0.001)] + [(5 * 21 + 10, 3, rng.random()) for _ in range(20)] + [(5 * 21 + 10, 1, rng.random()) for _ in range(50)]
+    rows = [(*r, rng.choice(["different", "language", "Information", "deadline", "CODE"])) for r in rows]
+    letters = {}
+    for _, m, _, run in rows:
+        for c in run if m > 1 else "":
+            letters[c] = letters.get(c, 0) + 1
+    got = secretscan.thresholds(spark.createDataFrame(rows, "class int, settings long, p double, run string").coalesce(1))
+    want = brute_thresholds(rows, secretscan.FALSE_DISCOVERIES, letters)
+    assert got.keys() == want.keys() and 217 in got and 28 not in got and got[195] > 0.3 and 4 * 21 + 10 in got
+    assert all(abs(got[k] - want[k]) <= 1 / secretscan.BINS for k in got)
+
+
+def test_unlike_bounds_what_passes():
+    """The closed form against letters drawn: where it says that hardly any pass, hardly any do."""
+    rng = random.Random(12)
+    letters = {}
+    for c in "".join(WORDS):
+        letters[c] = letters.get(c, 0) + 1
+    for name, n in (("lower", 16), ("lower", 32), ("base62", 16), ("base64", 32)):
+        k = secretscan.ENCODINGS.index(name) * 21 + {16: 8, 32: 10}[n]
+        alphabet = secretscan.ALPHABETS[name]
+        mine = [c for c in alphabet if c in letters]
+        p = [brute_battery("".join(rng.choices(mine, [letters[c] for c in mine], k=n)), alphabet) for _ in range(400)]
+        for b in (1, 5, 20):
+            share, said = sum(x >= b / secretscan.BINS for x in p) / 400, secretscan._unlike(letters, k)[b]
+            assert share <= said + 0.08, (name, n, b, share, said)
+
+
+def brute_random(text, limits):
+    """Spans of accepted runs that overlap no base span, by the textbook battery; those next to a limit are left open."""
+    from math import floor, log2
+
+    sure, maybe = set(), set()
+    for m in re.finditer(r"[A-Za-z0-9+/_-]+", text or ""):
+        e = next(i for i, name in enumerate(secretscan.ENCODINGS) if re.fullmatch(secretscan.FITS[name], m[0]))
+        k = e * 21 + min(20, floor(2 * log2(len(m[0]))))
+        if len(m[0]) < secretscan.LEAST_LENGTH[e] or k not in limits or any(a < m.end() and m.start() < b for a, _, b in base(text)):
+            continue
+        p = brute_battery(m[0], secretscan.ALPHABETS[secretscan.ENCODINGS[e]])
+        if p > limits[k] - 0.003:
+            maybe.add((m.start(), m.end()))
+        if p > limits[k] + 0.003:
+            sure.add((m.start(), m.end()))
+    return sure, maybe
+
+
+WORDS = "the quality of language models depends on what they were trained with and how often documents repeat International Understanding whatsoever nevertheless configuration-file src/main/java getElementById snake_case_name Washington university".split()
+
+
+def corpus(rng, keys):
+    """A document a key, of words in any order with the key among them."""
+    out = []
+    for key in keys:
+        words = [rng.choice(WORDS) for _ in range(30)]
+        words[rng.randrange(30)] = key
+        out.append(" ".join(words))
+    return out
+
+
+def test_random_spans_match_brute_force(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choice(rng.choice(list(secretscan.ALPHABETS.values()))) for _ in range(rng.randint(6, 40))) for _ in range(120)]
+    keys += ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(18)) for _ in range(120)]
+    texts = corpus(rng, keys) + ["é🙂 " + "token=abcdefgh12 " * 3 + k + "/x token=" + k for k in ("".join(rng.choice(string.ascii_letters) for _ in range(22)) for _ in range(20))] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    limits = secretscan.thresholds(secretscan.runs_tested(df, "text"))
+    found = 0
+    for r in secretscan.secrets(df).collect():
+        sure, maybe = brute_random(texts[r.doc_id], limits)
+        got = {(s.start, s.end) for s in r.span_list if s.kind == 3}
+        found += len(got)
+        assert sure <= got <= maybe, (texts[r.doc_id], got, sure, maybe)
+        assert [(s.start, s.kind, s.end) for s in r.span_list if s.kind < 3] == base(texts[r.doc_id])
+    assert found > 100
+
+
+def test_recall_by_length_and_alphabet(spark, capsys):
+    """Keys of one alphabet and length among words: found where the battery can tell, and few words with them."""
+    rng = random.Random(10)
+    kinds = {"lower": 40, "UPPER": 24, "digits": 16, "hex": 12, "base32": 16, "base62": 16, "base64": 16}  # from here the battery must tell
+    rows, n = [], 60
+    for name in kinds:
+        for length in (8, 12, 16, 18, 24, 40, 64):
+            for text in corpus(rng, ["".join(rng.choice(secretscan.ALPHABETS[name]) for _ in range(length)) for _ in range(n)]):
+                rows.append((len(rows), text, name, length))
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string, length int")
+    spans = {r.doc_id: r.span_list for r in secretscan.secrets(df).collect()}
+    hits, wrong = {}, 0
+    for i, text, name, length in rows:
+        said = [text[s.start : s.end] for s in spans[i]]
+        wrong += sum(x in WORDS for x in said)
+        hits[name, length] = hits.get((name, length), 0) + any(len(x) == length and x not in WORDS for x in said) / n
+    with capsys.disabled():
+        print({k: round(v, 2) for k, v in hits.items()})
+    assert wrong <= secretscan.FALSE_DISCOVERIES * sum(len(s) for s in spans.values())
+    assert all(v >= 0.9 for (name, length), v in hits.items() if length >= kinds[name])
+
+
+def test_copied_secrets_do_not_count_as_words(spark):
+    rng = random.Random(11)
+    texts = corpus(rng, ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(20)) for _ in range(60)])
+    near = [t.replace(" the ", " that ") + " copied" for t in texts]
+    got = secretscan.secrets(spark.createDataFrame(list(enumerate(texts * 3 + near)), "doc_id long, text string")).collect()
+    assert sum("random:" in r.spans for r in got) >= 0.9 * len(got)
+
+
+def test_one_secret_in_many_documents(spark):
+    """A key that is leaked in several settings is still found; a word of many settings is not."""
+    rng = random.Random(13)
+    key = "".join(rng.choice(secretscan.ALPHABETS["base64"]) for _ in range(40))
+    got = secretscan.secrets(spark.createDataFrame(list(enumerate(corpus(rng, [key] * 40))), "doc_id long, text string")).collect()
+    assert all(r.spans.count("random:") == 1 for r in got)
+
+
+def test_redacted_overlaps_and_places(spark):
+    """Overlapping spans give one mark, adjoining ones two; letters of any width around them stay."""
+    key = "0123456789abcdef01234567"
+    texts = ["\ufeffé🙂 token=" + key + "g\ufeff🙂 " + key + "🙂", "secret=" + key + " token=abcdefg\U0001f600secret=abcdefg", key, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secretscan.redacted(df, length_col=None).collect():
+        text, at, out = texts[r.doc_id], 0, ""
+        for a, _, b in base(text):
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r.text == out + text[at:]
