@@ -75,3 +75,11 @@ def test_measured_fraction(spark):
     df = spark.createDataFrame([("a", 3, 4), ("a", 1, 4), ("b", 0, 0), ("c", None, 5)], "k string, m int, h int")
     got = {r.k: r.f for r in df.groupBy("k").agg(S.measured_fraction(F.col("m"), F.col("h")).alias("f")).collect()}
     assert got == {"a": 0.5, "b": 1.0, "c": 1.0}
+
+
+def test_nearest_of_two_at_one_distance_is_the_smaller_id(spark):
+    """0.7 degrees to either side of the antipode: differences of radians are not the same to the last place, those of degrees are."""
+    main = spark.createDataFrame([(1, 0, 6.4, -59.8, 109.05)], "event_id long, time_ms long, magnitude double, latitude double, longitude double")
+    events = spark.createDataFrame([(252893, 9, 6.3, 58.2, -71.65), (349652, 7, 5.4, 58.2, -70.25)], main.schema)
+    found = Q.antipodal_summary(Q.antipodal(events, main), main, K.HOUR_MS).first()
+    assert (found.n, found.nearest_id) == (2, 252893)
