@@ -83,3 +83,12 @@ def test_nearest_of_two_at_one_distance_is_the_smaller_id(spark):
     events = spark.createDataFrame([(252893, 9, 6.3, 58.2, -71.65), (349652, 7, 5.4, 58.2, -70.25)], main.schema)
     found = Q.antipodal_summary(Q.antipodal(events, main), main, K.HOUR_MS).first()
     assert (found.n, found.nearest_id) == (2, 252893)
+
+
+def test_antipodal_windows_are_not_sorted(spark):
+    """What is found grows with the square of the density: a sort of it would shuffle it all."""
+    rng = random.Random(4)
+    events = spark.createDataFrame([(i, rng.randrange(72) * K.HOUR_MS, 6.0, rng.uniform(-1, 1), rng.choice([0.0, 179.0])) for i in range(60)], "event_id long, time_ms long, magnitude double, latitude double, longitude double")
+    found = Q.antipodal(events, events)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and found.count() > 100
