@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 from math import factorial, sqrt
 
 import numpy as np
@@ -120,3 +121,12 @@ def test_tides(spark):
     assert abs(abs(top.latitude) - 15) <= 20 and 0.3 < top.tide_m < 0.65 and min(r.tide_m for r in grid) < -0.15
     poles = {r.tide_m for r in grid if r.time_ms == full and r.row == 0}
     assert max(poles) - min(poles) < 1e-12
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_text_is_made_of_the_staged_parts_alone(spark):
+    """Over the table itself, filters on the text make it for each of its rows."""
+    from tremor.sources import fixtures as X
+
+    lines = X.coefficient_lines(spark, "/root/testdata/sf0.001")
+    assert not [f for f in lines.inputFiles() if "part.parquet" in f] and lines.count() == 197
