@@ -127,3 +127,25 @@ def test_lag_totals_equal_counts_by_lag(spark):
         assert (mine.triggers, mine.observed) == (want.triggers, want.observed) and abs(mine.expected - want.expected) < 1e-9 and abs(mine.ratio - want.ratio) < 1e-9
     empty = stats.lag_totals(rated.limit(0), targets, lags)[0, 24].first()
     assert (empty.triggers, empty.observed, empty.expected, empty.ratio) == (0, 0, 0.0, None)
+
+
+def test_reference_counts_by_blocks_equal_brute_force(spark):
+    """Equal places, places at a border of bins and one without a coordinate; blocks much smaller than the tables."""
+    rng = random.Random(8)
+    places = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(40)] + [(0.0, math.degrees(100 * k / K.EARTH_RADIUS_KM)) for k in range(-20, 20)] + [(None, 1.0)]
+    rows = [(i, *rng.choice(places)) for i in range(300)]
+    targets = spark.createDataFrame(rows, "event_id long, latitude double, longitude double")
+    triggers = targets.where("event_id < 90")
+    want = [0] * K.KS_BINS
+    for _, la, lo in rows[:90]:
+        for _, c, d in rows:
+            if la is None or c is None:
+                want[-1] += 1
+                continue
+            a, b = -la, lo - 180 if lo >= 0 else lo + 180
+            h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+            want[min(K.KS_BINS - 1, int(2 * K.EARTH_RADIUS_KM * math.asin(min(1, math.sqrt(h))) / K.KS_BIN_KM))] += 1
+    counts = stats.reference_counts(triggers, targets, block_rows=16, target_rows=30)
+    got = {r.bin: r.n for r in counts.collect()}
+    assert got == {k: n for k, n in enumerate(want) if n}
+    assert "RepartitionByExpression" in counts._jdf.queryExecution().optimizedPlan().toString()  # a pair of blocks is a row of its own
