@@ -149,3 +149,24 @@ def test_reference_counts_by_blocks_equal_brute_force(spark):
     got = {r.bin: r.n for r in counts.collect()}
     assert got == {k: n for k, n in enumerate(want) if n}
     assert "RepartitionByExpression" in counts._jdf.queryExecution().optimizedPlan().toString()  # a pair of blocks is a row of its own
+
+
+def test_more_triggers_than_hours(spark):
+    """By default an error, as in the reference; else a draw of every hour, or tests without a p that reject nothing."""
+    rng = random.Random(3)
+    H = catalogue.H
+    events = spark.createDataFrame([(i, catalogue.START_MS + rng.randrange(20) * K.HOUR_MS, 5.0, rng.uniform(-80, 80), rng.uniform(-180, 180)) for i in range(25)], "event_id long, time_ms long, magnitude double, latitude double, longitude double")
+    flares = spark.createDataFrame([(catalogue.START_MS + rng.randrange(20 * K.HOUR_MS),) for _ in range(30)], "peak_ms long")
+    given = {"end_ms": catalogue.START_MS + 20 * K.HOUR_MS, "half_ms": 2 * K.HOUR_MS, "iterations": 5, "lags": ((0, 2), (2, 4))}
+    with pytest.raises(ValueError):
+        H.h1b(events, flares, catalogue.parameters("H1b", **given))
+    every = H.h1b(events, flares, catalogue.parameters("H1b", short="every", **given)).collect()
+    assert len(every) == 2 and all(r.triggers == 30 and r.p in (1 / 6, 1.0) for r in every)  # all draws are the same
+    none = H.h1b(events, flares, catalogue.parameters("H1b", short="none", mode="numpy", **given)).collect()
+    assert len(none) == 2 and all((r.p, r.p_run, r.p_matrix, r.rejected) == (None, None, None, False) and r.ratio is not None for r in none)
+
+
+def test_tests_without_p_are_not_ranked(spark):
+    df = spark.createDataFrame([(1, 0.02), (2, None), (3, 0.04)], "test_id long, p double")
+    got = {r.test_id: (r.p_adjusted, r.rejected) for r in stats.benjamini_hochberg(df, 0.05).collect()}
+    assert got == {1: (0.04, True), 2: (None, False), 3: (0.04, True)}

@@ -238,5 +238,5 @@ def h2b_sql() -> str:
 def h2b_hash_null(spark, d):
     """H2b with the null of hash draws."""
     direct = X.cmes(spark, d).where(scan.is_direct(F.col("glancing"), F.col("minor"))).select("time_ms")
-    found = H.h2b(X.quakes(spark, d), direct, parameters("H2b"))
+    found = H.h2b(X.quakes(spark, d), direct, parameters("H2b", short="every"))
     return found.withColumns({c: F.round(c, 6) for c in ("ratio", "p", "p_run", "p_matrix")})
