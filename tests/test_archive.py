@@ -195,3 +195,23 @@ def test_http_pages(spark, place):
         assert p.state == "complete" and held(archive)[2002, 4.5] == want(2002, 4.5)
     finally:
         server.shutdown()
+
+
+def test_small_pages_of_a_mirror_read_it_about_once(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
+
+    rows = [(at(2001, (k * 37) % 90), 4.0 + k % 5, json.dumps({"id": k})) for k in range(3000)]
+    for part, some in enumerate((rows[::2], rows[1::2])):
+        (tmp_path / "year=2001").mkdir(exist_ok=True)
+        pq.write_table(pa.table({"time_ms": [r[0] for r in some], "magnitude": [r[1] for r in some], "feature": [r[2] for r in some]}), tmp_path / "year=2001" / f"{part}.parquet")
+    reads, real = [], ds.dataset
+    monkeypatch.setattr(ds, "dataset", lambda *a, **k: reads.append(1) or real(*a, **k))
+    fetch, got, offset = A.file_pages(f"file://{tmp_path}"), [], 1
+    while page := fetch(at(2001), at(2001, 60), 5.0, 100, offset):
+        got += page
+        offset += len(page)
+    assert [f["id"] for f in got] == [json.loads(f)["id"] for t, _, f in sorted((r for r in rows if r[0] <= at(2001, 60) and r[1] >= 5.0), key=lambda r: (r[0], r[2]))]
+    assert len(got) > 1500 and len(reads) <= 4
+    assert fetch(at(2001), at(2001, 60), 5.0, 7, 3) == got[2:9] and fetch(at(2002), at(2003), 5.0, 7, 1) == []

@@ -139,13 +139,16 @@ def http_pages(url: str, timeout: float = 60.0) -> Fetch:
 def file_pages(root: str) -> Fetch:
     """Pages of a mirror in files: a Parquet folder (time_ms, magnitude, feature) in parts year=..., each in any order.
 
-    Only the years that the span touches are read, and of these the rows within it.
+    Only the years that the span touches are read, and of these the rows within it. The instants of a span are counted when its
+    first page is asked for; rows are then read and kept some 65,536 at a time, so they are read about once, however small the pages are.
     """
+    ahead_rows, kept = 65_536, {}
 
     def fetch(start_ms: int, end_ms: int, floor: float, limit: int, offset: int) -> list[dict]:
         import json
         from datetime import datetime, timezone
 
+        import numpy as np
         import pyarrow.dataset as ds
         import pyarrow.fs as fs
 
@@ -153,10 +156,25 @@ def file_pages(root: str) -> Fetch:
         first, last = (datetime.fromtimestamp(t / 1000, timezone.utc).year for t in (start_ms, end_ms))
         part = ds.partitioning(flavor="hive")
         c = ds.field
-        within = (c("year") >= first) & (c("year") <= last) & (c("time_ms") >= start_ms) & (c("time_ms") <= end_ms) & (c("magnitude") >= floor)
-        held = ds.dataset(path, filesystem=files, format="parquet", partitioning=part).to_table(columns=["time_ms", "feature"], filter=within)
-        held = held.sort_by([("time_ms", "ascending"), ("feature", "ascending")]).slice(offset - 1, limit)
-        return [json.loads(f) for f in held["feature"].to_pylist()]
+        within = lambda a, b: (c("year") >= first) & (c("year") <= last) & (c("time_ms") >= a) & (c("time_ms") <= b) & (c("magnitude") >= floor)
+        read = lambda columns, a, b: ds.dataset(path, filesystem=files, format="parquet", partitioning=part).to_table(columns=columns, filter=within(a, b))
+        if kept.get("span") != (start_ms, end_ms, floor):
+            kept.clear()
+            times, counts = np.unique(read(["time_ms"], start_ms, end_ms)["time_ms"].to_numpy(), return_counts=True)
+            kept.update(span=(start_ms, end_ms, floor), times=times, upto=np.concatenate(([0], np.cumsum(counts))), low=0, high=0)
+        times, upto = kept["times"], kept["upto"]
+        low = offset - 1
+        high = min(low + limit, int(upto[-1]))
+        if low >= high:
+            return []
+        if not kept["low"] <= low <= high <= kept["high"]:
+            i = int(np.searchsorted(upto, low, side="right")) - 1
+            j = int(np.searchsorted(upto, min(max(high, low + ahead_rows), int(upto[-1])), side="left"))
+            rows = read(["time_ms", "feature"], int(times[i]), int(times[j - 1])).sort_by([("time_ms", "ascending"), ("feature", "ascending")])
+            if len(rows) != upto[j] - upto[i]:
+                raise OSError("the mirror has changed since its instants were counted")
+            kept.update(low=int(upto[i]), high=int(upto[j]), rows=rows["feature"])
+        return [json.loads(f) for f in kept["rows"].slice(low - kept["low"], high - low).to_pylist()]
 
     return fetch
 
