@@ -81,6 +81,15 @@ def test_nearest_line_both_ways(spark):
     assert a == b and len(a) == 60
 
 
+def test_points_that_meet_segments_in_one_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(match, "POINTS_A_TASK", 50)
+    pts = spark.range(1000).selectExpr("id as event_id", "(id * 7) % 160 - 80.0D as latitude", "(id * 11) % 360 - 180.0D as longitude")
+    segs = match.segments(spark.createDataFrame([(0, [0.0, 0.0, 10.0, 10.0]), (1, [100.0, -20.0, 120.0, -30.0])], "line int, p array<double>"))
+    near = match.nearest_line(pts, segs, first_degrees=180.0).withColumn("task", F.spark_partition_id())
+    held = [r["count"] for r in near.groupBy("task").count().collect()]
+    assert sum(held) == 1000 and max(held) <= 100
+
+
 def test_merge_keeps_source(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id long, source string, m double")
     new = spark.createDataFrame([(2, "c", None), (3, "d", 4.0)], "id long, source string, m double")

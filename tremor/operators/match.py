@@ -55,6 +55,8 @@ def segments(lines: DataFrame) -> DataFrame:
 
 
 GLOBE_SQUARE_DEGREES = 41_253
+#: Points that meet segments in one task: what a task orders does not grow with the input.
+POINTS_A_TASK = 25_000
 
 
 def nearest_line(points: DataFrame, segs: DataFrame, key: str = "event_id", first_degrees: float | None = None) -> DataFrame:
@@ -63,6 +65,7 @@ def nearest_line(points: DataFrame, segs: DataFrame, key: str = "event_id", firs
     Points meet the segments that may be within some degrees, by cells of that size; a point whose nearest is closer than that
     is done, the others try cells four times as large. A segment is in the cells that its box, widened by a cell, touches. The first
     cells are as large as the share of the globe that falls to one segment, so most points are done at once and meet few segments.
+    Points are dealt by key before they meet segments, so many to a task; with segments broadcast, the least of a point needs no more shuffle.
     """
     if first_degrees is None:
         first_degrees = min(180.0, (GLOBE_SQUARE_DEGREES / max(1, segs.count())) ** 0.5)
@@ -74,6 +77,7 @@ def nearest_line(points: DataFrame, segs: DataFrame, key: str = "event_id", firs
     # Seen from the other side of the globe the ends lie to the left and to the right, and the plane's segment runs by the point.
     opposite = boxed.where("ax <> bx").withColumns({"west": F.col("west") + 180, "east": F.col("east") + 180})
     boxed = written(boxed.unionByName(opposite), "segments")
+    count = left.count()
     while True:
         last = degrees >= 180
         deg = F.lit(min(degrees, 180.0))
@@ -81,7 +85,7 @@ def nearest_line(points: DataFrame, segs: DataFrame, key: str = "event_id", firs
         n = F.lit(1).cast("long") if last else spacetime.cells_in(F.col("band_"), deg)
         low, high = (F.floor((F.col(c) + 180) / 360 * n).cast("long") + k for c, k in (("west", -1), ("east", 1)))
         cut = cut.withColumn("cell_", F.explode(F.array_distinct(F.transform(F.sequence(low, F.least(high, low + n - 1)), lambda c: F.pmod(c, n)))))
-        own = left.withColumn("band_", spacetime.band(F.col("latitude"), deg))
+        own = left.repartition(max(1, -(-count // POINTS_A_TASK)), key).withColumn("band_", spacetime.band(F.col("latitude"), deg))
         own = own.withColumn("cell_", spacetime.cell(F.col("longitude"), F.lit(1).cast("long") if last else spacetime.cells_in(F.col("band_"), deg)))
         got = own.join(cut, ["band_", "cell_"]).groupBy(key).agg(best.alias("b")).select(key, F.col("b.line").alias("line"), F.col("b.km").alias("distance_km"))
         sure = got if last else written(got.where(F.col("distance_km") <= degrees * 110.0), "nearest")
@@ -89,7 +93,8 @@ def nearest_line(points: DataFrame, segs: DataFrame, key: str = "event_id", firs
         if last:
             return done
         left = written(left.join(sure, key, "left_anti"), "left")
-        if left.isEmpty():
+        count = left.count()
+        if not count:
             return done
         degrees *= 4
 
