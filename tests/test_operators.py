@@ -37,6 +37,17 @@ def test_decluster_equals_the_greedy_sweep(spark):
     assert got == {i for i, s in state.items() if s == "independent"}
 
 
+def test_the_jvm_compiles_the_code_of_pairs(spark):
+    events = spark.range(100).selectExpr("id as event_id", "id * 3600000L as time_ms", "5.0D + id % 20 / 10 as magnitude", "id % 3 / 10.0D as latitude", "id % 5 / 10.0D as longitude")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = decluster.edges(events)._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000  # HotSpot interprets methods beyond that
+
+
 def test_published_table(spark):
     r = spark.range(1).select(*(decluster.gk_window_days(F.lit(m)).alias(f"m{k}") for k, m in enumerate((6.5, 7.0, 8.0))), decluster.gk_radius_km(F.lit(6.0)).alias("r")).first()
     assert abs(r.m0 - 884.9) < 1 and abs(r.m1 - 918) < 1 and abs(r.m2 - 988) < 1 and abs(r.r - 53.2) < 0.1
