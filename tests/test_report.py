@@ -99,6 +99,17 @@ def test_unsound_reports_are_refused(spark):
 
 
 @tables
+@tables
+def test_a_run_declusters_once(spark, monkeypatch):
+    from tremor.operators import decluster
+
+    made, real = [], decluster.edges
+    monkeypatch.setattr(decluster, "edges", lambda events: made.append(1) or real(events))
+    inputs = given(spark, "H2b")
+    r = R.run("H2b", inputs["events"], parameters("H2b", iterations=20), arrivals=inputs["arrivals"]).first()
+    assert len(made) == 1 and r.catalog.raw_count == r.catalog.declustered_count + r.catalog.left_out.dependent + r.catalog.left_out.outside_span
+
+
 def test_numpy_refuses_where_it_cannot(spark):
     pool = spark.range(20).selectExpr("id as idx", "id * 3600000 as time_ms")
     events = spark.createDataFrame([(1, 5, 1.0, 1.0)], "event_id long, time_ms long, latitude double, longitude double")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tremor import constants as K
 from tremor.operators import scan
-from tremor.operators.decluster import decluster
 from tremor.operators.series import eligible, episodes, hourly_grid
 from tremor.operators.tables import written
 from tremor.plans import hypotheses as H
@@ -150,8 +149,8 @@ def problems(report: DataFrame) -> list[str]:
 
 def run(hypothesis: str, events: DataFrame, p: H.Parameters, *, series: DataFrame | None = None, flares: DataFrame | None = None, arrivals: DataFrame | None = None, requested_start_ms: int | None = None, truncation: str | None = None, complete: bool = True) -> DataFrame:
     """Run a registered test and report it; a report with a problem is an error, not a result."""
-    began, nulls = time.monotonic(), {}
-    p = replace(p, keep_null=nulls.__setitem__)
+    began, nulls, held = time.monotonic(), {}, []
+    p = replace(p, keep_null=nulls.__setitem__, keep_independent=held.append)
     tests = {
         "H4c": lambda: H.h4c(events, series, p),
         "H3b": lambda: H.h3b(events, series, p),
@@ -159,8 +158,7 @@ def run(hypothesis: str, events: DataFrame, p: H.Parameters, *, series: DataFram
         "H2b": lambda: H.h2b(events, arrivals, p),
         "H5": lambda: H.h5(events, p),
     }[hypothesis]()
-    large = events.where(F.col("magnitude") >= p.target_magnitude)
-    independent = written(decluster(large).select("time_ms", "magnitude"), "independent")
+    (independent,) = held  # the run declusters once
     inside = F.col("time_ms").between(p.start_ms, p.end_ms)
     kept = independent.agg(F.count("*").alias("all"), F.count_if(inside).alias("inside"), F.count_if(inside & (F.col("magnitude") >= K.H5_TRIGGER_MAGNITUDE)).alias("strong")).first()
     raw = events.agg(F.count("*").alias("all"), F.count_if(F.col("magnitude") >= p.target_magnitude).alias("large")).first()
