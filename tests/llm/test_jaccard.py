@@ -1,7 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tremor.llm import jaccard
+from tremor.llm.common import sliced
 from tremor.llm.components import components
 
 
@@ -94,3 +97,11 @@ def test_components(spark):
         up[y] = x
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: top(x) for a, b in edges for x in (a, b) if a != b}
+
+
+def test_batches_go_on_in_slices():
+    texts = ["word " * 200_000, None, "", *("a b c d e f" for _ in range(50)), "word " * 900_000, "x y z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])
+    parts = list(sliced(iter([batch, batch.slice(0, 0)]), "t"))
+    assert [x for p in parts for x in p["t"].to_pylist()] == texts
+    assert len(parts) == 3 and all(p.num_rows == 1 or sum(len(x or "") for x in p["t"].to_pylist()) <= 1 << 22 for p in parts)

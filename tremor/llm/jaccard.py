@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from tremor.llm.common import BINARY, LONG, broadcast_if_small, discarding, extended, map_arrow, stage
+from tremor.llm.common import BINARY, LONG, broadcast_if_small, discarding, extended, map_arrow, sliced, stage
 from tremor.llm.components import components
 
 MOST_MATCHES = 8
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, part:
     """(doc_id, n_shingles, sig, g, sample): the set's size, its 128-bit and 64-bit digests and its shingles of one part of the hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, text_col):
             n, sig, g, samples = [], [], [], []
             for s in shingle_sets(b[text_col].to_pylist(), words):
                 d = hashlib.md5(s.tobytes()).digest()
@@ -107,7 +107,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str,
     text = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_text")).join(wanted, "rep").select("g", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "_text"):
             keep_g, keep = [], []
             for g, s in zip(b["g"].to_pylist(), shingle_sets(b["_text"].to_pylist(), words)):
                 if int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True) == g:  # rows may share an id
