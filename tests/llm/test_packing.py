@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -101,3 +102,25 @@ def test_pack_empty(spark):
 def test_known(sizes):
     n = sum(k for _, k in packing.plan(hist(sizes)))
     assert n == {4096: 5, 1: 3, 2048: 75}[sizes[0]]
+
+
+def test_words_are_encoded_together():
+    t = Tokenizer.from_file(PATH)
+    rng = random.Random(9)
+    plain = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    found = packing.WordIds(PATH)
+    asked = []
+    encode = found._encode
+    found._encode = lambda items: asked.append(len(items)) or encode(items)
+    texts = [" ".join(rng.choice(plain) + rng.choice(["", ",", "!?", "."]) for _ in range(400)) for _ in range(30)]
+    got = [np.frombuffer(raw, "<u4").tolist() for raw in found.of(pa.array([*texts, None]))]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts] + [[]]
+    assert sum(asked) < 100  # one call of the tokenizer's does for many words
+
+
+def test_words_that_cannot_be_told_apart():
+    t = Tokenizer.from_file(PATH)
+    found = packing.WordIds(PATH)
+    found.last[:] = False
+    texts = ["one two, three", "<|ENDOFTEXT|> <|endoftext|>x", "a\x0bb\x0cc  d é Ȩ́", "it's ''s 's"]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in found.of(texts, together=20)] == [t.encode(x, add_special_tokens=False).ids for x in texts]

@@ -12,14 +12,15 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremor.llm.common import INT, LONG, buckets_for, extended, map_arrow, stage
+from tremor.llm.common import INT, LONG, buckets_for, extended, map_arrow, sliced, stage
 
 CAPACITY = 4096
 END_ID = 1
@@ -168,59 +169,77 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=>?@\[-`{-~]*)")
 class WordIds:
     """Token ids of a text, as little-endian 32-bit numbers, from word caches of bounded size.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. A word of
-    plain letters and then plain signs splits there too, after lower-casing; any other word goes to the tokenizer whole.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. Arrow splits the
+    texts and numbers their different words, so that each is looked up once a slice. A word of plain letters and then plain
+    signs splits there too, after lower-casing; any other word goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, words: int = 200_000, cores: int = 500_000):
+    def __init__(self, path: str, words: int = 50_000, cores: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one worker a core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {"": b""}
         self.most = words, cores
+        self.last = np.zeros(t.get_vocab_size() + 1, dtype=bool)  # the ids that end a word
+        if suffix := getattr(t.model, "end_of_word_suffix", None):
+            self.last[[i for w, i in t.get_vocab().items() if w.endswith(suffix)]] = True
 
     def _encode(self, items: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Afterwards all these words are known; what else was, may be forgotten to stay within bounds."""
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > self.most[0] and new:
-            self.words, new = {"": b""}, words
-        if len(self.cores) > self.most[1]:
-            self.cores = {"": b""}
-        cores, match, split, unknown = self.cores, _PLAIN.fullmatch, [], {}
+    def _encode_plain(self, items: list[str], together: int = 256) -> list[bytes]:
+        """The ids of runs of letters or of signs; one call encodes several, which are told apart by the ids that end a word."""
+        found: list[bytes] = []
+        groups = [items[k : k + together] for k in range(0, len(items), together)]
+        for group, raw in zip(groups, self._encode([" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) * 4 + 4
+            if len(ends) == len(group):
+                found += [raw[lo:hi] for lo, hi in pairwise([0, *ends.tolist()])]
+            else:
+                found += self._encode(group)
+        return found
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. The first words are kept for good; of their parts, what else was known may be forgotten."""
+        found = list(map(self.words.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        match, heads, tails, whole = _PLAIN.fullmatch, [], [], set()
         for w in new:
-            if m := match(w):
-                a, b = m.groups()
-                a = a.lower()
+            if w.isascii() and w.isalpha():
+                head, tail = w.lower(), ""
+            elif m := match(w):
+                head, tail = m[1].lower(), m[2]
             else:
-                a, b = w, ""
-            if a not in cores:
-                unknown[a] = None
-            if b not in cores:
-                unknown[b] = None
-            split.append((w, a, b))
-        keys = list(unknown)
-        cores.update(zip(keys, self._encode(keys)))
-        self.words.update((w, cores[a] + cores[b]) for w, a, b in split)
-
-    def of(self, texts: list[str | None], together: int = 1 << 20) -> Iterator[bytes]:
-        """The ids of each text; new words are learnt for about `together` characters at a time."""
-        held: list[list[str]] = []
-        size = 0
-        for i, t in enumerate(texts):
-            t = (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
-            held.append(t.split(" "))
-            size += len(t)
-            if size >= together or i == len(texts) - 1:
-                self._learn(set(chain.from_iterable(held)))
-                get = self.words.__getitem__
-                for words in held:
-                    yield b"".join(map(get, words))
-                held, size = [], 0
+                head, tail = w, ""
+                whole.add(w)
+            heads.append(head), tails.append(tail)
+        if len(self.cores) > self.most[1]:
+            self.cores = {"": b""}
+        cores = self.cores
+        odd = list(whole.difference(cores))
+        cores.update(zip(odd, self._encode(odd)))
+        parts = list(set(chain(heads, tails)).difference(cores))
+        cores.update(zip(parts, self._encode_plain(parts)))
+        made = [cores[a] + cores[b] for a, b in zip(heads, tails)]
+        self.words.update(islice(zip(new, made), max(0, self.most[0] - len(self.words))))
+        rest = iter(made)
+        return [next(rest) if ids is None else ids for ids in found]
+
+    def of(self, texts: pa.Array | list[str | None], together: int = 1 << 22) -> Iterator[bytes]:
+        """The ids of each text, for slices of about `together` bytes at a time."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        for b in sliced(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text", together):
+            spaced = pc.fill_null(b["text"], "")
+            for c in "\n\t\r":
+                spaced = pc.replace_substring(spaced, c, " ")
+            words = pc.split_pattern(spaced, " ")
+            coded = words.flatten().dictionary_encode()
+            different = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ")
+            get, of_word = self._ids(different).__getitem__, coded.indices.to_numpy().tolist()
+            for lo, hi in pairwise(words.offsets.to_numpy().tolist()):
+                yield b"".join(map(get, of_word[lo:hi]))
 
 
 _kept: dict[str, WordIds] = {}
@@ -241,7 +260,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
         encoder = word_ids(tokenizer_path)
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, raw in enumerate(encoder.of(b[text_col].to_pylist())):
+            for i, raw in enumerate(encoder.of(b[text_col])):
                 raw += end
                 for k, p in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[p : p + 4 * capacity]
