@@ -105,3 +105,29 @@ def test_batches_go_on_in_slices():
     parts = list(sliced(iter([batch, batch.slice(0, 0)]), "t"))
     assert [x for p in parts for x in p["t"].to_pylist()] == texts
     assert len(parts) == 3 and all(p.num_rows == 1 or sum(len(x or "") for x in p["t"].to_pylist()) <= 1 << 22 for p in parts)
+
+
+def test_sets_of_arrow_texts():
+    rng = random.Random(8)
+    texts = [None, "", " \t\x0b", "A b\x0cC", "É\xa0e x\x1cy  z w", *("".join(rng.choice("aB \t\n\x0b\xa0é") for _ in range(rng.randint(0, 30))) for _ in range(500))]
+    got = jaccard.shingle_sets(pa.array(texts, pa.string()), 2)
+    for t, s in zip(texts, got, strict=True):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        assert len(s) == len({tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else ())
+
+
+def test_a_worker_lets_go_of_what_other_operators_keep(spark):
+    from tremor.llm import common, packing
+
+    def seen(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([len(common._kept)])], names=["n"]) for _ in batches)
+
+    one = spark.range(1).coalesce(1)
+    held = common.kept(packing.__name__, "x", lambda: 1)
+    assert held == common.kept(packing.__name__, "x", lambda: 2) == 1
+    common.release(packing.__name__)
+    assert len(common._kept) == 1
+    seen.__module__ = jaccard.__name__
+    assert common.map_arrow(one, seen, "n long").collect()[0].n == 0
+    common.release(jaccard.__name__)
+    assert common._kept == {}

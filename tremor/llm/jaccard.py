@@ -15,16 +15,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from tremor.llm.common import BINARY, LONG, broadcast_if_small, discarding, extended, map_arrow, sliced, stage
+from tremor.llm.common import BINARY, LONG, broadcast_if_small, discarding, extended, map_arrow, numbered, sliced, stage
 from tremor.llm.components import components
 
 MOST_MATCHES = 8
@@ -33,15 +34,12 @@ HEAD_ROUNDS = 2
 
 # ---------------------------------------------------------------- sets
 
-_words: dict[bytes, bytes] = {}
-_MOST_WORDS = 250_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def _shingled(words: list[bytes], k: int) -> np.ndarray:
-    if not words:
+def _shingled(h: np.ndarray, k: int) -> np.ndarray:
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.frombuffer(b"".join(map(_words.__getitem__, words)), "<u8")
     with np.errstate(over="ignore"):
         short = len(h) < k
         m = 1 if short else len(h) - k + 1
@@ -57,23 +55,18 @@ def _shingled(words: list[bytes], k: int) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
-def shingle_sets(texts: list[str | None], k: int, together: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text: A-Z lower-cased, words split at space and \\t..\\r."""
-    held: list[list[bytes]] = []
-    size = 0
-    for i, t in enumerate(texts):
-        raw = (t or "").encode("utf-8", "surrogatepass").lower()
-        held.append(raw.split())
-        size += len(raw)
-        if size >= together or i == len(texts) - 1:
-            new = set(chain.from_iterable(held)).difference(_words)
-            if len(_words) + len(new) > _MOST_WORDS:
-                _words.clear()
-                new = set(chain.from_iterable(held))
-            _words.update((w, xxhash.xxh64_digest(w)) for w in new)
-            for words in held:
-                yield _shingled(words, k)
-            held, size = [], 0
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text: A-Z lower-cased, words split at space and \\t..\\r.
+
+    Arrow splits the texts and numbers their words, so that each different one is hashed once.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    different, of_word = numbered(split.flatten())
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, different)), "<u8")
+    blank = different.index("") if "" in different else -1  # the one word of a text without words
+    for lo, hi in pairwise(split.offsets.to_numpy().tolist()):
+        which = of_word[lo:hi]
+        yield _shingled(hashes[which] if hi - lo > 1 or which[0] != blank else hashes[:0], k)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -92,7 +85,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, part:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, text_col):
             n, sig, g, samples = [], [], [], []
-            for s in shingle_sets(b[text_col].to_pylist(), words):
+            for s in shingle_sets(b[text_col], words):
                 d = hashlib.md5(s.tobytes()).digest()
                 n.append(len(s)), sig.append(d), g.append(int.from_bytes(d[:8], "little", signed=True)), samples.append(s[s % np.uint64(part) == 0])
             yield pa.RecordBatch.from_arrays([b[id_col], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(g, pa.int64()), _lists(samples)], names=["_id", "n", "sig", "g", "sample"])
@@ -109,7 +102,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "_text"):
             keep_g, keep = [], []
-            for g, s in zip(b["g"].to_pylist(), shingle_sets(b["_text"].to_pylist(), words)):
+            for g, s in zip(b["g"].to_pylist(), shingle_sets(b["_text"], words)):
                 if int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True) == g:  # rows may share an id
                     keep_g.append(g), keep.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(keep_g, pa.int64()), pa.array([len(s) for s in keep], pa.int64()), _lists(keep)], names=["g", "n", "tokens"])

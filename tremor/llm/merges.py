@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremor.llm.common import STRING, extended, map_arrow
+from tremor.llm.common import STRING, extended, kept, map_arrow
 
 SPACE = "▁"
 KEPT_STRETCHES, KEPT_LETTERS = 1 << 18, 64
@@ -154,14 +154,9 @@ class Merges:
         return out
 
 
-_loaded: dict[str, Merges] = {}
-
-
 def merges(path: str) -> Merges:
     """One per worker process, kept from task to task."""
-    if path not in _loaded:
-        _loaded[path] = Merges(path)
-    return _loaded[path]
+    return kept(__name__, path, lambda: Merges(path))
 
 
 def encoded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremor.llm.common import INT, LONG, buckets_for, extended, map_arrow, sliced, stage
+from tremor.llm.common import INT, LONG, buckets_for, extended, kept, map_arrow, numbered, sliced, stage
 
 CAPACITY = 4096
 END_ID = 1
@@ -235,21 +235,15 @@ class WordIds:
             for c in "\n\t\r":
                 spaced = pc.replace_substring(spaced, c, " ")
             words = pc.split_pattern(spaced, " ")
-            coded = words.flatten().dictionary_encode()
-            different = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ")
-            get, of_word = self._ids(different).__getitem__, coded.indices.to_numpy().tolist()
+            different, of_word = numbered(words.flatten())
+            get, of_word = self._ids(different).__getitem__, of_word.tolist()
             for lo, hi in pairwise(words.offsets.to_numpy().tolist()):
                 yield b"".join(map(get, of_word[lo:hi]))
 
 
-_kept: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """One per worker process, kept from task to task."""
-    if path not in _kept:
-        _kept[path] = WordIds(path)
-    return _kept[path]
+    return kept(__name__, path, lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -304,7 +298,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                 k = rank[which] - seg[:, 0]
                 sequence[which] = seg[:, 1] + k // seg[:, 2]
                 offset[which] = seg[:, 3] + (k % seg[:, 2]) * s
-            kept = [b[c] for c in b.schema.names if c != "_rank"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[c for c in b.schema.names if c != "_rank"] + ["sequence_id", "offset"])
+            others = [b[c] for c in b.schema.names if c != "_rank"]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(sequence), pa.array(offset)], names=[c for c in b.schema.names if c != "_rank"] + ["sequence_id", "offset"])
 
     return map_arrow(ranked, run, extended(cut.schema, sequence_id=LONG, offset=LONG))
