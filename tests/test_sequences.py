@@ -11,6 +11,7 @@ from tremor.functions import space
 from tremor.operators import sequences as Q
 from tremor.operators import series as S
 from tremor.operators import upsert as U
+from tremor.plans import displays
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 300])
@@ -92,3 +93,27 @@ def test_antipodal_windows_are_not_sorted(spark):
     found = Q.antipodal(events, events)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort" not in plan and found.count() > 100
+
+
+def test_progress_is_as_the_summary_of_all_pairs(spark):
+    """With ties, windows without events, and nearest events in every class of reach."""
+    rng = random.Random(6)
+    places = [(lat / 2, lon / 2) for lat in range(-6, 7) for lon in range(-6, 7)]
+    rows = [(i, rng.randrange(40) * K.HOUR_MS, rng.choice([5.0, 6.0]), a, b) for i in range(400) for a, b in [rng.choice(places)]]
+    mains = [(1000 + i, rng.randrange(40) * K.HOUR_MS, 6.5, a + rng.choice([0.0, 0.3, 3.0, 8.0]), b - 180 + 360 * (b <= 0)) for i in range(60) for a, b in [rng.choice(places)]]
+    names = "event_id long, time_ms long, magnitude double, latitude double, longitude double"
+    events, main = spark.createDataFrame(rows, names), spark.createDataFrame([*mains, (2000, 0, 6.5, -70.0, 20.0)], names)
+    want = {tuple(r) for r in Q.antipodal_summary(Q.antipodal(events, main), main, 50 * K.HOUR_MS).collect()}
+    got = {tuple(r) for r in Q.antipodal_progress(events, main, 50 * K.HOUR_MS).collect()}
+    assert got == want and len(want) == 61 and (2000, 0, None, None) in {r[:4] for r in want}
+    nearest = [r[3] for r in want if r[3] is not None]
+    assert all(any(low < x <= high for x in nearest) for low, high in ((-1, 1000 / 16), (1000 / 16, 250), (250, 1000)))
+
+
+def test_progress_sorts_no_pairs(spark, monkeypatch):
+    """Pairs of main events and events grow with the square of the density; only hash aggregates may stand on them."""
+    plans, write = [], Q.written
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(Q, "written", lambda df, label: (note(df), write(df, label))[1])
+    note(displays.antipodal_progress(spark, "/root/testdata/sf0.001"))
+    assert "HashAggregate" in "".join(plans) and not any("SortAggregate" in p for p in plans)

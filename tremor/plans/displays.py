@@ -252,7 +252,7 @@ def antipodal_progress(spark, d):
     """Every large event's antipodal window as it stands on the twentieth day."""
     q = X.quakes(spark, d)
     main = q.where("magnitude >= 6.0")
-    return rounded(Q.antipodal_summary(Q.antipodal(q, main), main, START_MS + 20 * DAY), "nearest_km", "elapsed_fraction")
+    return rounded(Q.antipodal_progress(q, main, START_MS + 20 * DAY), "nearest_km", "elapsed_fraction")
 
 
 @query(f"""WITH {SERIES_SQL}, x AS (SELECT time_ms, dst / 20 AS bz, greatest(1.6726e-6 * kp * wind_speed * wind_speed, 0.01) AS p FROM series WHERE kp IS NOT NULL AND dst IS NOT NULL AND wind_speed IS NOT NULL),
